@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, token_counts, token_ids
+from . import bpe, html, langid, quality, token_counts, token_ids
+from .common import crc_mod, plain
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -19,6 +21,26 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
 
 
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = plain(table(spark, sf_dir, "documents"), doc_id="doc_id", text="text")
+    held_out = F.coalesce(crc_mod("doc_id", 3) == 1, F.lit(False))
+    weights = quality.train(documents.where(~held_out), table(spark, sf_dir, "labels"))
+    scored = quality.score(documents, weights)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = plain(table(spark, sf_dir, "documents"), doc_id="doc_id", text="text", lang="lang")
+    held_out = F.coalesce(crc_mod("doc_id", 4) == 2, F.lit(False))
+    models = langid.train(documents, ~held_out)
+    found = langid.predict(documents.select("doc_id", "text"), models)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected")
+
+
 def op7_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_ids.digests(table(spark, sf_dir, "documents"), TOKENIZER, public_tokenizers.PATTERN, end_id=0)
 
@@ -27,5 +49,5 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op7_token_ids, op9_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_html_text, op3_quality, op5_language, op7_token_ids, op9_token_counts)}
 ORACLE: dict[str, str] = {}
