@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html, langid, quality, token_counts, token_ids
+from . import bpe, html, langid, minhash, quality, substring, token_counts, token_ids
 from .common import crc_mod, plain
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -33,6 +33,11 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = minhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id", "kept", "class_id")
+
+
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = plain(table(spark, sf_dir, "documents"), doc_id="doc_id", text="text", lang="lang")
     held_out = F.coalesce(crc_mod("doc_id", 4) == 2, F.lit(False))
@@ -45,9 +50,13 @@ def op7_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_ids.digests(table(spark, sf_dir, "documents"), TOKENIZER, public_tokenizers.PATTERN, end_id=0)
 
 
+def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.digests(table(spark, sf_dir, "documents"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_html_text, op3_quality, op5_language, op7_token_ids, op9_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_html_text, op3_quality, op4_near_duplicates, op5_language, op7_token_ids, op8_substrings, op9_token_counts)}
 ORACLE: dict[str, str] = {}
