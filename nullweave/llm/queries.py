@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html, langid, minhash, quality, substring, token_counts, token_ids
+from . import bpe, decontaminate, html, langid, minhash, quality, substring, token_counts, token_ids
 from .common import crc_mod, plain
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -58,5 +58,11 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_html_text, op3_quality, op4_near_duplicates, op5_language, op7_token_ids, op8_substrings, op9_token_counts)}
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    digest = F.sha2(F.concat_ws(",", "items").cast("binary"), 256).alias("items_sha256")
+    return found.select("doc_id", "n_words", "n_hit", "n_items", digest, "contaminated")
+
+
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_html_text, op3_quality, op4_near_duplicates, op5_language, op7_token_ids, op8_substrings, op9_token_counts, op10_decontamination)}
 ORACLE: dict[str, str] = {}
