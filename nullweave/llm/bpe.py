@@ -200,6 +200,26 @@ def encode(documents: DataFrame, path: str, pattern: str) -> DataFrame:
     return encoded_blocks(documents, path, pattern).mapInArrow(_gathered(make), "doc_id bigint, ids array<int>")
 
 
+def encode_checked(documents: DataFrame, path: str, pattern: str) -> DataFrame:
+    """doc_id, n_tokens, ids and decoded_sha256 (of the bytes that the ids decode to) of every whole text."""
+
+    def make():
+        import pyarrow as pa
+
+        pieces = {rank: piece for piece, rank in load_ranks(path).items()}
+
+        def word(ids):
+            return ids, b"".join([pieces[i] for i in ids])
+
+        def row(doc, words):
+            ids = [i for w in words for i in w[0]]
+            return {"doc_id": doc, "n_tokens": len(ids), "ids": ids, "decoded_sha256": hashlib.sha256(b"".join([w[1] for w in words])).hexdigest()}
+
+        return word, row, pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded_sha256", pa.string())])
+
+    return encoded_blocks(documents, path, pattern).mapInArrow(_gathered(make), "doc_id bigint, n_tokens bigint, ids array<int>, decoded_sha256 string")
+
+
 def decode(ids: Column, path: str) -> Column:
     """The bytes of an array of ids: its pieces, concatenated (null stays null)."""
     ranks = load_ranks(path)

@@ -9,13 +9,16 @@ from __future__ import annotations
 
 import itertools
 import re
+from collections import defaultdict
 
 import numpy as np
 import regex
 
-#: Outside these, the stdlib classes of letters, digits and spaces are those of the pattern; other texts take the slow path.
-_OTHER = re.compile("[\x1c-\x1f\xb2\xb3\xb9\xbc-\xbe\u0530-\u1fff\u2070-\u209f\u20d0-\U0010ffff]")
-_FAST = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+# Texts of Latin-1 characters go through the stdlib engine with plain classes (fixed values: the pattern's letters,
+# numbers and spaces below U+0100); those with the numbers that class \\p{N} adds to the digits, or other separators, don't.
+_LETTER, _SPACE = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "\\t-\\r \x85\xa0"
+_FAST = re.compile(f" ?[{_LETTER}]+| ?[0-9]+|'(?:[stmd]|re|ve|ll)| ?[^{_LETTER}{_SPACE}0-9]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
+_NOT_FAST = bytes([0x1C, 0x1D, 0x1E, 0x1F, 0xB2, 0xB3, 0xB9, 0xBC, 0xBD, 0xBE])
 
 
 class Splitter:
@@ -30,8 +33,13 @@ class Splitter:
     def __call__(self, text: str | None) -> list[str]:
         if not text:
             return []
-        if self.same and not _OTHER.search(text):
-            return _FAST.findall(text)
+        if self.same:
+            try:
+                raw = text.encode("latin-1")
+            except UnicodeEncodeError:
+                return self.slow.findall(text)
+            if len(raw.translate(None, _NOT_FAST)) == len(raw):
+                return _FAST.findall(text)
         return self.slow.findall(text)
 
 
@@ -39,23 +47,19 @@ class Indexer:
     """Numbers pre-tokens in order of first sight; `reset` starts over when too many are held."""
 
     def __init__(self, split, limit: int = 600_000):
-        self.split, self.limit, self.ids, self.reset = split, limit, {}, True
+        self.split, self.limit = split, limit
+        self._restart()
+
+    def _restart(self):
+        self.ids, self.reset = defaultdict(itertools.count().__next__), True
 
     def block(self, texts):
         """(reset, new pre-tokens, int32 indices of all texts, lengths by text)"""
         if len(self.ids) > self.limit:
-            self.ids, self.reset = {}, True
+            self._restart()
         reset, self.reset = self.reset, False
-        ids = self.ids
-        known = len(ids)
-        parts, lengths = [], np.zeros(len(texts), np.int64)
-        for k, text in enumerate(texts):
-            words = self.split(text)
-            lengths[k] = len(words)
-            parts.append(words)
-        counter = itertools.count(known)
-        for w in dict.fromkeys(itertools.chain.from_iterable(parts)):
-            if w not in ids:
-                ids[w] = next(counter)
-        flat = np.fromiter(map(ids.__getitem__, itertools.chain.from_iterable(parts)), np.int32, int(lengths.sum()))
-        return reset, list(itertools.islice(ids, known, None)), flat, lengths
+        known = len(self.ids)
+        parts = list(map(self.split, texts))
+        lengths = np.fromiter(map(len, parts), np.int64, len(parts))
+        flat = np.fromiter(map(self.ids.__getitem__, itertools.chain.from_iterable(parts)), np.int32, int(lengths.sum()))
+        return reset, list(itertools.islice(self.ids, known, None)), flat, lengths

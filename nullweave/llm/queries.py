@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, html, langid, minhash, quality, substring, token_counts, token_ids
+from . import bpe, covertree, decontaminate, html, langid, minhash, quality, substring, token_counts, token_ids
 from .common import crc_mod, plain
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -46,6 +46,10 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected")
 
 
+def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return covertree.top_k(table(spark, sf_dir, "embeddings"), "vec_id % 20 = 0", 20)
+
+
 def op7_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_ids.digests(table(spark, sf_dir, "documents"), TOKENIZER, public_tokenizers.PATTERN, end_id=0)
 
@@ -64,5 +68,5 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", digest, "contaminated")
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_html_text, op3_quality, op4_near_duplicates, op5_language, op7_token_ids, op8_substrings, op9_token_counts, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_html_text, op3_quality, op4_near_duplicates, op5_language, op6_top_k, op7_token_ids, op8_substrings, op9_token_counts, op10_decontamination)}
 ORACLE: dict[str, str] = {}

@@ -6,7 +6,8 @@ to a block, and each block row carries the offsets of its documents, so a block
 is unpacked with numpy at once and any document or id is reached directly.
 
 Format of a written folder (`FORMAT`): Parquet files, shard by shard in order;
-one row per block: `shard` and `block` order the blocks, `doc_ids` and `lengths`
+one row per block: `shard` and `block` order the blocks, `first` is the number
+of ids before the block in its shard, `doc_ids` and `lengths`
 are those of the block's documents (a document is never split), `bits` is the
 width, `payload` is the ids, most significant bit first, padded to a byte.
 
@@ -21,13 +22,13 @@ import zlib
 from functools import lru_cache
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import blocks, new_table, partitions, plain, stored
 from .pretokens import Indexer, Splitter
 
-FORMAT = "shard int, block bigint, doc_ids array<bigint>, lengths array<bigint>, bits int, payload binary"
+FORMAT = "shard int, block bigint, first bigint, doc_ids array<bigint>, lengths array<bigint>, bits int, payload binary"
 #: Ids in a block, apart from a last long document.
 BLOCK_IDS = 1 << 16
 
@@ -118,19 +119,19 @@ def write(documents: DataFrame, folder: str, path: str, pattern: str, end_id: in
         import pyarrow as pa
         from pyspark import TaskContext
 
-        shard, block = TaskContext.get().partitionId(), 0
-        schema = pa.schema([("shard", pa.int32()), ("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("bits", pa.int32()), ("payload", pa.binary())])
+        shard, block, first = TaskContext.get().partitionId(), 0, 0
+        schema = pa.schema([("shard", pa.int32()), ("block", pa.int64()), ("first", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("bits", pa.int32()), ("payload", pa.binary())])
         docs, counts, held, total, bits = [], [], [], 0, 0
 
         def row():
             raw = held[0] if len(held) == 1 else pack(np.concatenate([unpack(p, bits, n) for p, n in zip(held, counts)]), bits)
-            return pa.RecordBatch.from_pylist([{"shard": shard, "block": block, "doc_ids": docs, "lengths": counts, "bits": bits, "payload": raw}], schema)
+            return pa.RecordBatch.from_pylist([{"shard": shard, "block": block, "first": first, "doc_ids": docs, "lengths": counts, "bits": bits, "payload": raw}], schema)
 
         for batch in batches:
             for doc, n, payload, bits in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n_tokens", "payload", "bits"))):
                 if docs and total + n > BLOCK_IDS:
                     yield row()
-                    docs, counts, held, total, block = [], [], [], 0, block + 1
+                    docs, counts, held, total, block, first = [], [], [], 0, block + 1, first + total
                 docs.append(doc)
                 counts.append(n)
                 held.append(payload)
@@ -144,20 +145,15 @@ def write(documents: DataFrame, folder: str, path: str, pattern: str, end_id: in
 def read(spark, folder: str, each, schema: str) -> DataFrame:
     """One row per stored document: start (ids before it), then what `each(doc_id, ids)` gives.
 
-    Starts come from the block table alone: a prefix sum within each shard and
-    one over the shards' totals (a row per shard)."""
+    Starts are a prefix sum over the shards' totals (a row per shard) plus what
+    the block row says."""
     table = spark.read.schema(FORMAT).parquet(folder)
     size = F.aggregate("lengths", F.lit(0).cast("bigint"), lambda a, n: a + n)
-    sizes = table.select("shard", "block", size.alias("ids"))
-    inner = Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    totals = sorted((r["shard"], r["n"]) for r in sizes.groupBy("shard").agg(F.sum("ids").alias("n")).collect())
-    before, rows = 0, []
-    for shard, n in totals:
-        rows.append((shard, before))
+    totals = table.groupBy("shard").agg(F.max(F.col("first") + size).alias("n")).collect()
+    before, base = 0, {}
+    for shard, n in sorted(map(tuple, totals)):
+        base[shard] = before
         before += n
-    shards = spark.createDataFrame(rows, "shard int, base bigint")
-    starts = sizes.withColumn("inner", F.coalesce(F.sum("ids").over(inner), F.lit(0))).join(F.broadcast(shards), "shard")
-    starts = starts.select("shard", "block", (F.col("base") + F.col("inner")).alias("start"))
 
     def run(batches):
         import pyarrow as pa
@@ -166,11 +162,11 @@ def read(spark, folder: str, each, schema: str) -> DataFrame:
             for r in batch.to_pylist():
                 ids, at, out = unpack(r["payload"], r["bits"], sum(r["lengths"])), 0, []
                 for doc, n in zip(r["doc_ids"], r["lengths"]):
-                    out.append({"doc_id": doc, "start": r["start"] + at} | each(doc, ids[at : at + n]))
+                    out.append({"doc_id": doc, "start": base[r["shard"]] + r["first"] + at} | each(doc, ids[at : at + n]))
                     at += n
                 yield pa.RecordBatch.from_pylist(out)
 
-    return table.join(starts, ["shard", "block"]).mapInArrow(run, f"doc_id bigint, start bigint, {schema}")
+    return table.mapInArrow(run, f"doc_id bigint, start bigint, {schema}")
 
 
 def digests(documents: DataFrame, path: str, pattern: str, end_id: int = 0) -> DataFrame:
