@@ -1,10 +1,61 @@
-"""The corpus pipeline: stages over the documents table, each on what its predecessor kept."""
+"""The corpus pipeline: stages over the documents table, each on all that its predecessor kept.
+
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which is
+written as Parquet and read again as the next one's docs.  All but the last
+return the columns of documents.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from nullweave.llm import bpe, decontaminate, minhash, quality, substring
+from nullweave.llm.common import crc_mod, stored
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier scores 0.5 or more; it learns from the training labels only."""
+    learn = docs.where(F.coalesce(crc_mod("doc_id", 3) != 1, F.lit(False)))
+    weights = quality.train(learn, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.score(docs, weights).where("score >= 0.5").select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document (the smallest doc_id) of each group of near-duplicates."""
+    return minhash.one_of_each(docs)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the 13-word passages that an earlier document has; n_chars follows the text."""
+    return substring.deduplicated(docs).withColumn("n_chars", F.length("text").cast("bigint"))
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without any 8-word passage of a benchmark item."""
+    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), least_items=1)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids, decoded_sha256: token ids and the digest of what they decode to."""
+    return bpe.encode_checked(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+STAGES = [
+    ("quality", keep_quality),
+    ("near_dedup", drop_near_duplicates),
+    ("substring_dedup", cut_repeats),
+    ("decontamination", drop_contaminated),
+    ("encoding", encode),
+]
+
+#: SQL can't express the stages; tests hold the pipeline against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
