@@ -18,6 +18,8 @@ empty table gives an empty folder and no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import bisect
+import itertools
 import zlib
 from functools import lru_cache
 
@@ -25,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, new_table, partitions, plain, stored
+from .common import blocks, new_table, partitions, plain
 from .pretokens import Indexer, Splitter
 
 FORMAT = "shard int, block bigint, first bigint, doc_ids array<bigint>, lengths array<bigint>, bits int, payload binary"
@@ -67,59 +69,73 @@ def tokenizer(path: str):
     return t
 
 
-def packed_documents(documents: DataFrame, path: str, pattern: str, end_id: int | None) -> DataFrame:
-    """doc_id, n_tokens, bits, payload of each document (the end id included).
+class Encoder:
+    """Pre-tokens and their ids, kept by a Python worker from task to task; emptied when it holds too many."""
 
-    Pre-tokens are encoded once per task by the tokenizers library and gathered."""
+    def __init__(self, path: str, pattern: str):
+        self.tokenizer, self.index = tokenizer(path), Indexer(Splitter(pattern), 800_000)
+        self.at, self.ids = np.zeros(1, np.int64), np.empty(0, np.uint32)
+
+    def block(self, texts) -> list[np.ndarray]:
+        """The ids of each text."""
+        reset, new, flat, lengths = self.index.block(texts)
+        if reset:
+            self.at, self.ids = np.zeros(1, np.int64), np.empty(0, np.uint32)
+        if new:
+            got = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
+            n = np.fromiter(map(len, got), np.int64, len(got))
+            self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(n)])
+            self.ids = np.concatenate([self.ids, np.fromiter(itertools.chain.from_iterable(got), np.uint32, int(n.sum()))])
+        count = np.diff(self.at)[flat]
+        ends = np.cumsum(count)
+        # the ids of all pre-tokens, gathered at once
+        where = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(self.at[:-1][flat] - (ends - count), count)
+        every = self.ids[where]
+        cuts = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(lengths)])].tolist()
+        return [every[a:b] for a, b in itertools.pairwise(cuts)]
+
+
+@lru_cache(maxsize=1)
+def worker_encoder(path: str, pattern: str) -> Encoder:
+    return Encoder(path, pattern)
+
+
+def packed_documents(documents: DataFrame, path: str, pattern: str, end_id: int | None, borders=()) -> DataFrame:
+    """doc_id, n_tokens, payload, shard (by `borders` of doc_id) and bits of each document (the end id included).
+
+    Distinct pre-tokens are encoded by the tokenizers library and gathered."""
 
     def run(batches):
         import pyarrow as pa
 
-        index, t = Indexer(Splitter(pattern)), tokenizer(path)
-        bits = width(t.get_vocab_size())
-        at, ids = [np.zeros(1, np.int64)], [np.empty(0, np.uint32)]
+        encoder = worker_encoder(path, pattern)
+        bits = width(encoder.tokenizer.get_vocab_size())
+        tail = np.array([] if end_id is None else [end_id], np.uint32)
         for part in blocks(batches):
-            reset, new, flat, lengths = index.block(part.column("text").to_pylist())
-            if reset:
-                at, ids = [np.zeros(1, np.int64)], [np.empty(0, np.uint32)]
-            if new:
-                got = [e.ids for e in t.encode_batch_fast(new, add_special_tokens=False)]
-                n = np.fromiter(map(len, got), np.int64, len(got))
-                at.append(at[-1][-1] + np.cumsum(n))
-                ids.append(np.fromiter((i for g in got for i in g), np.uint32, int(n.sum())))
-                at, ids = [np.concatenate(at)], [np.concatenate(ids)]
-            count = np.diff(at[0])[flat]
-            ends = np.cumsum(count)
-            # the ids of all pre-tokens, gathered at once
-            where = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(at[0][:-1][flat] - (ends - count), count)
-            every = ids[0][where]
-            cuts = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(lengths)])]
-            tail = [] if end_id is None else [end_id]
-            own = [np.concatenate([every[a:b], np.array(tail, np.uint32)]) for a, b in zip(cuts[:-1], cuts[1:])]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    part.column("doc_id"),
-                    pa.array([len(x) for x in own], pa.int64()),
-                    pa.array([pack(x, bits) for x in own], pa.binary()),
-                ],
-                ["doc_id", "n_tokens", "payload"],
-            )
+            own = [np.concatenate([x, tail]) for x in encoder.block(part.column("text").to_pylist())]
+            docs = part.column("doc_id").to_pylist()
+            shard = [0 if d is None else bisect.bisect_left(borders, d) for d in docs]
+            columns = [part.column("doc_id"), pa.array([len(x) for x in own], pa.int64()), pa.array([pack(x, bits) for x in own], pa.binary()), pa.array(shard, pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "payload", "shard"])
 
     rows = plain(documents, doc_id="doc_id", text="text")
-    return rows.mapInArrow(run, "doc_id bigint, n_tokens bigint, payload binary").withColumn("bits", F.lit(width(tokenizer(path).get_vocab_size())))
+    return rows.mapInArrow(run, "doc_id bigint, n_tokens bigint, payload binary, shard int").withColumn("bits", F.lit(width(tokenizer(path).get_vocab_size())))
 
 
 def write(documents: DataFrame, folder: str, path: str, pattern: str, end_id: int | None = 0) -> None:
     """Writes the token ids of all documents to `folder`, in ascending doc_id order."""
     spark = documents.sparkSession
-    packed = stored(packed_documents(documents, path, pattern, end_id), "packed")
-    ordered = packed.repartitionByRange(partitions(spark), "doc_id", "n_tokens").sortWithinPartitions("doc_id", "n_tokens")
+    # shard borders from the id column alone, so that the texts are encoded once and moved once
+    shards = partitions(spark)
+    steps = [k / shards for k in range(1, shards)]
+    borders = documents.agg(F.percentile_approx("doc_id", steps, 100_000)).first()[0] if steps else None
+    packed = packed_documents(documents, path, pattern, end_id, sorted(set(borders or ())))
+    ordered = packed.repartition(shards, "shard").sortWithinPartitions("shard", "doc_id", "n_tokens")
 
     def run(batches):
         import pyarrow as pa
-        from pyspark import TaskContext
 
-        shard, block, first = TaskContext.get().partitionId(), 0, 0
+        shard, block, first = None, 0, 0
         schema = pa.schema([("shard", pa.int32()), ("block", pa.int64()), ("first", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("bits", pa.int32()), ("payload", pa.binary())])
         docs, counts, held, total, bits = [], [], [], 0, 0
 
@@ -128,10 +144,12 @@ def write(documents: DataFrame, folder: str, path: str, pattern: str, end_id: in
             return pa.RecordBatch.from_pylist([{"shard": shard, "block": block, "first": first, "doc_ids": docs, "lengths": counts, "bits": bits, "payload": raw}], schema)
 
         for batch in batches:
-            for doc, n, payload, bits in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n_tokens", "payload", "bits"))):
-                if docs and total + n > BLOCK_IDS:
+            for of, doc, n, payload, bits in zip(*(batch.column(c).to_pylist() for c in ("shard", "doc_id", "n_tokens", "payload", "bits"))):
+                if docs and (of != shard or total + n > BLOCK_IDS):
                     yield row()
                     docs, counts, held, total, block, first = [], [], [], 0, block + 1, first + total
+                if of != shard:
+                    shard, block, first = of, 0, 0
                 docs.append(doc)
                 counts.append(n)
                 held.append(payload)
