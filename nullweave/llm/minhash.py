@@ -7,15 +7,22 @@ the bin and the attempt alone.  `BINS / ROWS` bands of bins are bucket keys.
 Candidate edges are stars: each bucket links its members to one hub, the member
 with the most bucket mates, so edges grow with the members, not their square.
 
-What stars leave open is then settled exactly: members of a bucket that are in
-different components after the star edges are compared by signature and, where
-that is close, on their full sets.  Texts of few shingles get exact keys instead
-(their n - ceil(0.75 n) + 1 smallest shingles: two sets at 0.75 share one).
+What stars leave open is settled then: members of one bucket that are in
+different components after the star edges are compared by signature inside the
+task that holds the bucket, and only close pairs leave it.  Large open buckets
+(a passage that many documents share fills whole bands) are first dealt anew by
+`FINE` keys of `FINE_ROWS` bins each, which only similar documents share; what
+is still large is compared in chunks.  Texts of few shingles get exact keys
+instead of bands: their n - ceil(0.75 n) + 1 rarest shingles, of which two sets
+at 0.75 share one.
 
 Documents with equal sets are one class from the start (a copy costs a row, not
 a pair); every link is confirmed on full sets, in integers.  Components come
 from alternating large-star and small-star steps; nothing is collected.
 
+A pair at the threshold misses all bands with a chance of 5e-6 and falls below
+`CLOSE` with 4e-5; both fall quickly with higher similarity.
+
 Defined cases: a null text or one without words has no shingles and stands
 alone; fewer words than a shingle are one shingle; rows that share a doc_id
 count as one document by their union of links; a null doc_id is left out of all
@@ -36,8 +43,12 @@ BINS = 128
 ROWS = 4
 #: Up to this many shingles a set has exact keys; from the second number on it has bands.
 EXACT, BANDED = 32, 24
-#: Least signature share of a pair that is worth a full comparison (0.75 is 5 deviations above).
-CLOSE = 0.55
+#: Least signature share of a pair that is worth a full comparison (0.75 is 4 deviations above).
+CLOSE = 0.60
+#: Members above which an open bucket is dealt anew; keys and bins of each key for that.
+LARGE, FINE, FINE_ROWS = 64, 100, 8
+#: Members that one task compares with as many others.
+CHUNK = 512
 
 
 def shingles(text: str | None, cache, k: int = SHINGLE) -> np.ndarray:
@@ -70,45 +81,49 @@ def signature(s: np.ndarray) -> np.ndarray:
     return mix(s[edges[source]])
 
 
-def keys(s: np.ndarray, sig: np.ndarray, threshold: tuple[int, int]) -> np.ndarray:
-    out = []
-    if len(s) <= EXACT:
-        up, down = threshold
-        prefix = len(s) - -(-up * len(s) // down) + 1
-        out.append(mix(s[:prefix] ^ np.uint64(0xABCDEF)))
-    if len(s) >= BANDED:
-        m = sig.reshape(-1, ROWS)
-        out.append(mix((m * _BAND).sum(axis=1, dtype=np.uint64) + np.arange(1, len(m) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
-    return np.unique(np.concatenate(out))
+def bands(sig: np.ndarray) -> np.ndarray:
+    m = sig.reshape(-1, ROWS)
+    return mix((m * _BAND).sum(axis=1, dtype=np.uint64) + np.arange(1, len(m) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+_FINE_BINS = np.argsort(mix(np.arange(FINE * BINS, dtype=np.uint64) + np.uint64(0xF17E)).reshape(FINE, BINS), axis=1)[:, :FINE_ROWS]
+_FINE_MIX = multipliers(FINE_ROWS, 123)
+
 
+def fine_keys(sig: np.ndarray) -> np.ndarray:
+    """(documents, FINE) keys from (documents, BINS) signatures."""
+    got = (sig.astype(np.uint64)[:, _FINE_BINS] * _FINE_MIX).sum(axis=2, dtype=np.uint64)
+    return mix(got + np.arange(1, FINE + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
-def features(documents: DataFrame, threshold=(75, 100)) -> DataFrame:
-    """doc_id, n (shingles), digest (of the set), sig (BINS 16-bit values), keys."""
+
+def features(documents: DataFrame) -> DataFrame:
+    """doc_id, n (shingles), digest (of the set), sig (BINS 16-bit values), keys (of bands), few (the set, if small)."""
 
     def run(batches):
         import pyarrow as pa
 
         cache = hash_words()
         for part in blocks(batches):
-            n, digest, sigs, all_keys = [], [], [], []
+            n, digest, sigs, all_keys, few = [], [], [], [], []
             for text in part.column("text").to_pylist():
                 s = shingles(text, cache)
                 n.append(len(s))
                 if not len(s):
-                    digest.append(None), sigs.append(None), all_keys.append(None)
+                    digest.append(None), sigs.append(None), all_keys.append(None), few.append(None)
                     continue
                 sig = signature(s)
                 digest.append(xxhash.xxh3_128_digest(s.tobytes()))
                 sigs.append(sig.astype(np.uint16).tobytes())
-                all_keys.append(keys(s, sig, threshold).view(np.int64))
+                all_keys.append(bands(sig).view(np.int64) if len(s) >= BANDED else [])
+                few.append(s.view(np.int64) if len(s) <= EXACT else [])
             cache.trim()
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(sigs, pa.binary()), pa.array(all_keys, pa.list_(pa.int64()))],
-                ["doc_id", "n", "digest", "sig", "keys"],
+                [part.column("doc_id"), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(sigs, pa.binary()), pa.array(all_keys, pa.list_(pa.int64())), pa.array(few, pa.list_(pa.int64()))],
+                ["doc_id", "n", "digest", "sig", "keys", "few"],
             )
 
     rows = plain(documents, doc_id="doc_id", text="text")
-    return rows.mapInArrow(run, "doc_id bigint, n bigint, digest binary, sig binary, keys array<bigint>")
+    return rows.mapInArrow(run, "doc_id bigint, n bigint, digest binary, sig binary, keys array<bigint>, few array<bigint>")
 
 
 def _close(pairs: DataFrame, reps: DataFrame) -> DataFrame:
@@ -185,15 +200,114 @@ def components(edges: DataFrame, rounds: int = 30) -> DataFrame:
     return ends.union(edges.select("v", "v")).distinct()
 
 
+def _compared(members: DataFrame, reps: DataFrame) -> DataFrame:
+    """(a, b): close pairs of members of one key that are in different components.
+
+    `members` is (key, id, component).  A key's members are cut into chunks; each
+    pair of chunks is one run of a sorted partition, compared block by block."""
+    chunks = members.groupBy("key").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
+    own = F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")
+    rows = members.join(chunks, "key").withColumn("own", own).join(reps.select("id", "n", "sig"), "id")
+    other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
+    rows = rows.withColumn("other", other).select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "id", "component", "n", "sig")
+    rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+    def pairs(x):
+        g, ids = x["g"], x["id"]
+        out = []
+        at = np.arange(len(g))
+        d = 1
+        while d < len(g):
+            at = at[at + d < len(g)]
+            at = at[g[at + d] == g[at]]
+            if not len(at):
+                break
+            a, b = at, at + d
+            ok = (x["component"][a] != x["component"][b]) & (x["same"][a] | (x["side"][a] != x["side"][b]))
+            least, most = np.minimum(x["n"][a], x["n"][b]), np.maximum(x["n"][a], x["n"][b])
+            ok &= least * 4 >= most * 3
+            a, b, least = a[ok], b[ok], least[ok]
+            if len(a):
+                near = ((x["sig"][a] == x["sig"][b]).mean(axis=1) >= CLOSE) | (least < BANDED)
+                out.append(np.stack([np.minimum(ids[a], ids[b])[near], np.maximum(ids[a], ids[b])[near]]))
+            d += 1
+        return np.concatenate(out, axis=1) if out else np.empty((2, 0), np.int64)
+
+    def run(batches):
+        import pyarrow as pa
+
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            new = {c: batch.column(c).to_numpy() for c in ("key", "i", "j", "side", "id", "component", "n")}
+            new["sig"] = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint16).reshape(-1, BINS)
+            held = new if held is None else {c: np.concatenate([held[c], new[c]]) for c in new}
+            starts = np.flatnonzero((held["key"][1:] != held["key"][:-1]) | (held["i"][1:] != held["i"][:-1]) | (held["j"][1:] != held["j"][:-1])) + 1
+            cut = int(starts[-1]) if len(starts) else 0  # the last run may go on in the next batch
+            if cut:
+                got = pairs(_runs({c: v[:cut] for c, v in held.items()}, starts[:-1]))
+                held = {c: v[cut:] for c, v in held.items()}
+                yield pa.RecordBatch.from_pydict({"a": got[0], "b": got[1]})
+        if held is not None:
+            got = pairs(_runs(held, np.empty(0, np.int64)))
+            yield pa.RecordBatch.from_pydict({"a": got[0], "b": got[1]})
+
+    return rows.mapInArrow(run, "a bigint, b bigint").distinct()
+
+
+def _runs(x: dict, starts: np.ndarray) -> dict:
+    g = np.zeros(len(x["key"]), np.int64)
+    g[starts] = 1
+    return x | {"g": np.cumsum(g), "same": x["i"] == x["j"]}
+
+
+def _open(members: DataFrame, placed: DataFrame) -> DataFrame:
+    """(key, id, component, c) of the members of keys with several components."""
+    own = members.join(placed, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+    mixed = own.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("c")).where("lo < hi").select("key", "c")
+    return own.join(mixed, "key")
+
+
+def _shared(keyed: DataFrame) -> DataFrame:
+    """The (key, id) rows of keys that several ids have."""
+    counts = keyed.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
+    return keyed.join(counts, "key")
+
+
+def _fine(ids: DataFrame, reps: DataFrame) -> DataFrame:
+    """(key, id): the finer keys of the given ids."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for k in range(0, batch.num_rows, 1000):
+                part = batch.slice(k, 1000)
+                sig = np.frombuffer(b"".join(part.column("sig").to_pylist()), np.uint16).reshape(-1, BINS)
+                yield pa.RecordBatch.from_pydict({"key": fine_keys(sig).view(np.int64).ravel(), "id": np.repeat(part.column("id").to_numpy(), FINE)})
+
+    return reps.join(ids, "id", "left_semi").select("id", "sig").mapInArrow(run, "key bigint, id bigint")
+
+
+def _exact_keys(reps: DataFrame, threshold) -> DataFrame:
+    """(key, id) of small sets: their rarest shingles, as many as two sets at the threshold must share one of."""
+    up, down = threshold
+    every = reps.where("size(few) > 0").select("id", "n", F.explode("few").alias("s"))
+    counted = every.join(every.groupBy("s").agg(F.count("*").alias("df")), "s")
+    ordered = counted.groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "s"))).alias("o"))
+    prefix = (F.col("n") - F.ceil(F.col("n") * up / down) + 1).cast("int")
+    return ordered.select(F.explode(F.slice("o", F.lit(1), prefix)).alias("x"), "id").select(F.xxhash64(F.col("x.s"), F.lit(1)).alias("key"), "id")
+
+
 def near_duplicates(documents: DataFrame, threshold=(75, 100)) -> DataFrame:
     """doc_id, n_shingles, component_id, kept, class_id (smallest doc_id with an equal set)."""
-    seen = stored(features(documents, threshold), "features")
+    seen = stored(features(documents), "features")
     some = seen.where("digest is not null and doc_id is not null")
-    reps = some.groupBy("digest").agg(F.min_by(F.struct("doc_id", "n", "sig", "keys"), "doc_id").alias("r")).select("digest", F.col("r.doc_id").alias("id"), "r.n", "r.sig", "r.keys")
+    first = F.min_by(F.struct("doc_id", "n", "sig", "keys", "few"), "doc_id").alias("r")
+    reps = some.groupBy("digest").agg(first).select("digest", F.col("r.doc_id").alias("id"), "r.n", "r.sig", "r.keys", "r.few")
     reps = stored(reps, "classes")
-    keyed = reps.select(F.explode("keys").alias("key"), "id")
-    counts = keyed.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
-    members = stored(keyed.join(counts, "key"), "buckets")
+    members = stored(_shared(reps.select(F.explode("keys").alias("key"), "id").union(_exact_keys(reps, threshold))), "buckets")
 
     degree = members.groupBy("id").agg(F.sum(F.col("c") - 1).alias("degree"))
     hubs = members.join(degree, "id").groupBy("key").agg(F.max_by("id", F.struct("degree", -F.col("id"))).alias("hub"))
@@ -201,15 +315,13 @@ def near_duplicates(documents: DataFrame, threshold=(75, 100)) -> DataFrame:
     star = stored(_close(star, reps), "star")
     links = stored(confirmed(star, documents, threshold), "links")
 
-    # buckets that still hold members of two components: compare across components only
-    first = components(links)
-    placed = members.join(first, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-    mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    placed = stored(placed.join(mixed, "key"), "open-buckets")
-    left, right = placed.toDF("key", "a", "ca"), placed.toDF("key", "b", "cb")
-    rest = left.join(right, "key").where("a < b and ca <> cb").select("a", "b").distinct()
-    rest = stored(_close(rest.join(star, ["a", "b"], "left_anti"), reps), "rest")
-    found = components(links.union(confirmed(rest, documents, threshold)))
+    placed = components(links)
+    unsettled = stored(_open(members, placed), "open-buckets")
+    finer = _shared(_fine(unsettled.where(F.col("c") > LARGE).select("id").distinct(), reps)).select("key", "id")
+    finer = _open(finer, placed).select("key", "id", "component")
+    usual = unsettled.where(F.col("c") <= LARGE).select("key", "id", "component")
+    rest = _compared(usual, reps).union(_compared(finer, reps)).distinct().join(star, ["a", "b"], "left_anti")
+    found = components(links.union(confirmed(stored(rest, "rest"), documents, threshold)))
 
     classes = reps.select("digest", F.col("id").alias("class_id"))
     placed = classes.join(found.withColumnRenamed("id", "class_id"), "class_id", "left").select("digest", "class_id", F.coalesce("component", "class_id").alias("component"))
