@@ -28,13 +28,14 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_words, blocks, hash_words, partitions, plain, stored, windows
+from .common import ascii_words, blocks, hash_words, mix, partitions, plain, stored, windows
 
 WINDOW = 13
 #: Bytes of a packed hash; its lowest bit says that the window is an indexed one.
 PACKED = 5
 _PACKED_SCHEMA = "part int, docs binary, texts binary, counts binary, hashes binary"
-_MET = "doc_id bigint, text_hash int, part int, ordinals binary"
+_MET = "bucket int, part int, docs binary, texts binary, counts binary, ordinals binary"
+_ANSWER = "doc_id bigint, text_hash int, met struct<parts: binary, counts: binary, ordinals: binary>"
 
 
 def block_words(window: int) -> int:
@@ -85,9 +86,9 @@ def _unpack(pdf):
     return docs, texts, counts, value >> np.uint64(1), (value & np.uint64(1)).astype(bool)
 
 
-def _meet(both: bool):
+def _meet(both: bool, buckets: int):
     """A function for a hash partition: which windows lie in an indexed block of a smaller document
-    (and, if `both`, which blocks are probed by a larger one)."""
+    (and, if `both`, which blocks are probed by a larger one), packed by buckets of documents."""
 
     def run(key, pdf):
         import pandas as pd
@@ -100,7 +101,7 @@ def _meet(both: bool):
         first = np.concatenate([[True], keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, bool)
         keys, least = keys[first], least[first]
         if not len(keys):
-            return pd.DataFrame({"doc_id": [], "text_hash": [], "part": [], "ordinals": []})
+            return pd.DataFrame(columns=["bucket", "part", "docs", "texts", "counts", "ordinals"])
         at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
         known = keys[at] == h
         met = known & (least[at] < doc)
@@ -114,17 +115,43 @@ def _meet(both: bool):
             met |= indexed & known & (greatest[at] > doc)
         where = np.flatnonzero(met)
         ordinals = (where - np.repeat(np.cumsum(counts) - counts, counts)[where]).astype(np.int32)
-        runs, starts = np.unique(run_of[where], return_index=True)
-        cut = np.split(ordinals, starts[1:]) if len(runs) else []
-        return pd.DataFrame({"doc_id": docs[runs], "text_hash": texts[runs], "part": np.full(len(runs), key[0], np.int32), "ordinals": [x.tobytes() for x in cut]})
+        runs, n = np.unique(run_of[where], return_counts=True)
+        bucket = (mix(docs[runs].view(np.uint64)) % np.uint64(buckets)).astype(np.int32)
+        order = np.argsort(bucket, kind="stable")
+        cut = np.cumsum(n) - n
+        out = {k: [] for k in ("bucket", "docs", "texts", "counts", "ordinals")}
+        for own in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(order) else []:
+            out["bucket"].append(int(bucket[own[0]]))
+            out["docs"].append(docs[runs[own]].tobytes())
+            out["texts"].append(texts[runs[own]].tobytes())
+            out["counts"].append(n[own].astype(np.int32).tobytes())
+            out["ordinals"].append(ordinals[np.repeat(cut[own] - (np.cumsum(n[own]) - n[own]), n[own]) + np.arange(n[own].sum())].tobytes())
+        return pd.DataFrame({"bucket": np.array(out["bucket"], np.int32), "part": np.full(len(out["bucket"]), key[0], np.int32)} | {k: out[k] for k in ("docs", "texts", "counts", "ordinals")})
 
     return run
 
 
-def _answers(packed: DataFrame, both: bool) -> DataFrame:
-    """doc_id, text_hash and the ordinals that met, by partition."""
-    met = packed.groupBy("part").applyInPandas(_meet(both), _MET)
-    return met.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("part", "ordinals")).alias("met"))
+def _by_document(_, pdf):
+    """The answers of all partitions for a bucket of documents: a row per document."""
+    import pandas as pd
+
+    docs, texts, counts = (np.concatenate([np.frombuffer(x, kind) for x in pdf[c]]) for c, kind in (("docs", np.int64), ("texts", np.int32), ("counts", np.int32)))
+    ordinals = np.frombuffer(b"".join(pdf.ordinals), np.int32)
+    parts = np.repeat(pdf.part.to_numpy(np.int32), [len(x) // 4 for x in pdf.texts])
+    start = np.cumsum(counts) - counts
+    order = np.lexsort((texts, docs))
+    first = np.flatnonzero(np.concatenate([[True], (docs[order][1:] != docs[order][:-1]) | (texts[order][1:] != texts[order][:-1])]))
+    rows = []
+    for own in np.split(order, first[1:]):
+        n = counts[own]
+        where = np.repeat(start[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        rows.append((docs[own[0]], texts[own[0]], {"parts": parts[own].tobytes(), "counts": n.tobytes(), "ordinals": ordinals[where].tobytes()}))
+    return pd.DataFrame(rows, columns=["doc_id", "text_hash", "met"])
+
+
+def _answers(packed: DataFrame, both: bool, buckets: int) -> DataFrame:
+    """doc_id, text_hash and `met`: the ordinals that met, by partition."""
+    return packed.groupBy("part").applyInPandas(_meet(both, buckets), _MET).groupBy("bucket").applyInPandas(_by_document, _ANSWER)
 
 
 def _positions(h: np.ndarray, parts: int, met) -> np.ndarray:
@@ -132,8 +159,8 @@ def _positions(h: np.ndarray, parts: int, met) -> np.ndarray:
     part = _parts(h, parts)
     order = np.argsort(part, kind="stable")
     start = np.searchsorted(part[order], np.arange(parts + 1))
-    found = [order[start[m["part"]] + np.frombuffer(m["ordinals"], np.int32)] for m in met]
-    return np.concatenate(found) if found else np.empty(0, np.int64)
+    own, n, ordinals = (np.frombuffer(met[k], np.int32) for k in ("parts", "counts", "ordinals"))
+    return order[np.repeat(start[own], n) + ordinals]
 
 
 def _hashes(words, cache) -> np.ndarray:
@@ -204,9 +231,9 @@ def removals(documents: DataFrame, window: int = WINDOW) -> DataFrame:
     spark = documents.sparkSession
     parts = 2 * partitions(spark)
     rows = keyed(documents).where("doc_id is not null and text is not null")
-    met = _answers(anchors(rows, window, parts), True)
+    met = _answers(anchors(rows, window, parts), True, parts)
     held = stored(_candidates(rows.join(met, ["doc_id", "text_hash"]), window, parts), "anchored")
-    repeats = _answers(_exact(held, window, parts), False)
+    repeats = _answers(_exact(held, window, parts), False, parts)
 
     def run(batches):
         import pyarrow as pa
