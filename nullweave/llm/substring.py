@@ -229,11 +229,11 @@ def _exact(rows: DataFrame, window: int, parts: int) -> DataFrame:
 def removals(documents: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, text_hash, n_words, n_removed, spans (maximal repeated word ranges), kept_text of the documents that lose words."""
     spark = documents.sparkSession
-    parts = 2 * partitions(spark)
+    parts, buckets = partitions(spark), max(8, partitions(spark) // 4)
     rows = keyed(documents).where("doc_id is not null and text is not null")
-    met = _answers(anchors(rows, window, parts), True, parts)
+    met = _answers(anchors(rows, window, parts), True, buckets)
     held = stored(_candidates(rows.join(met, ["doc_id", "text_hash"]), window, parts), "anchored")
-    repeats = _answers(_exact(held, window, parts), False, parts)
+    repeats = _answers(_exact(held, window, parts), False, buckets)
 
     def run(batches):
         import pyarrow as pa
