@@ -23,6 +23,8 @@ from ..schema import Family
 LOCAL_PAIRS = 1 << 25
 #: Logarithms of multipliers stay within these bounds.
 BOUND = 46.0
+#: -ln of the multiplier that stands for 0 where every weight of a node is 1.
+LIMIT = 18.0
 
 
 @dataclass
@@ -216,6 +218,13 @@ def minimise(p: Problem, evaluate: Callable[[np.ndarray], np.ndarray], tolerance
     moves[p.slices["b"]] = p.targets[p.slices["b"]] > 0
     if p.cost is not None:
         moves[p.slices["gamma"]] = True
+    if "n" in p.slices:  # a node all of whose weights are 1: its multiplier's limit is 0, its odds take over
+        for side, odds, s, k in (("a", "n", p.s_out, p.k_out), ("b", "o", p.s_in, p.k_in)):
+            ones = (k > 0) & (s - k <= 1e-9 * np.maximum(s, 1))
+            if start is None:
+                theta[p.slices[side]][ones] = -LIMIT
+                theta[p.slices[odds]][ones] += LIMIT
+            moves[p.slices[side]] &= ~ones
     strengths = np.zeros(p.size, bool)
     strengths[: 2 * p.n] = True
     largest = {True: max(p.targets[strengths].max(initial=0), 1e-300), False: max(np.abs(p.targets[~strengths]).max(initial=0), 1e-300)}
