@@ -38,7 +38,11 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_table(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/nullweave/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder; its files go when the driver's JVM ends."""
+    path = f"{shared_dir(spark)}/nullweave/{name}-{uuid.uuid4().hex}"
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    return path
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

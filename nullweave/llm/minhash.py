@@ -43,8 +43,12 @@ BINS = 128
 ROWS = 4
 #: Up to this many shingles a set has exact keys; from the second number on it has bands.
 EXACT, BANDED = 32, 24
-#: Least signature share of a pair that is worth a full comparison (0.75 is 4 deviations above).
-CLOSE = 0.60
+#: Bins of the wider signature (one byte each) that candidate pairs are compared by.
+WIDE = 512
+#: Least share of equal bytes of a pair that is worth a full comparison (0.75 is 4 deviations above).
+CLOSE = 0.675
+#: Most bits of the filter of wanted documents (16 MB).
+FILTER_BITS = 1 << 27
 #: Members above which an open bucket is dealt anew; keys and bins of each key for that.
 LARGE, FINE, FINE_ROWS = 64, 100, 8
 #: Members that one task compares with as many others.
@@ -58,26 +62,32 @@ def shingles(text: str | None, cache, k: int = SHINGLE) -> np.ndarray:
     return np.unique(windows(h, min(k, len(h)))) if len(h) else h
 
 
-def _donors() -> np.ndarray:
+def _donors(bins: int) -> np.ndarray:
     """For each bin the order in which it asks other bins (attempt by attempt, the same for all sets)."""
-    tries = mix(np.arange(BINS * BINS * 8, dtype=np.uint64) + np.uint64(0x51ED270B)) % np.uint64(BINS)
-    return tries.reshape(BINS, BINS * 8).astype(np.int64)
+    tries = mix(np.arange(bins * 64, dtype=np.uint64) + np.uint64(0x51ED270B)) % np.uint64(bins)
+    return tries.reshape(64, bins).astype(np.int64)
 
 
-_DONORS = _donors()
+_DONORS = {bins: _donors(bins) for bins in (BINS, WIDE)}
 _BAND = multipliers(ROWS, 99)
 
 
-def signature(s: np.ndarray) -> np.ndarray:
+def signature(s: np.ndarray, bins: int = BINS) -> np.ndarray:
     """The densified one-permutation signature of a non-empty set of sorted hashes."""
-    edges = np.searchsorted(s, (np.arange(BINS, dtype=np.uint64) << np.uint64(64 - BINS.bit_length() + 1)))
+    edges = np.searchsorted(s, np.arange(bins, dtype=np.uint64) << np.uint64(64 - bins.bit_length() + 1))
     full = np.append(edges[1:], len(s)) > edges
-    source = np.arange(BINS)
-    for b in np.flatnonzero(~full):
-        asked = _DONORS[b]
-        hit = full[asked]
-        k = hit.argmax()
-        source[b] = asked[k] if hit[k] else np.flatnonzero(full)[0]
+    source = np.arange(bins)
+    empty = np.flatnonzero(~full)
+    for asked in _DONORS[bins]:
+        if not len(empty):
+            break
+        donor = asked[empty]
+        hit = full[donor]
+        source[empty[hit]] = donor[hit]
+        empty = empty[~hit]
+    if len(empty):  # nearly empty signatures: the next full bin, round the circle
+        held = np.flatnonzero(full)
+        source[empty] = held[np.searchsorted(held, empty) % len(held)]
     return mix(s[edges[source]])
 
 
@@ -97,46 +107,47 @@ def fine_keys(sig: np.ndarray) -> np.ndarray:
 
 
 def features(documents: DataFrame) -> DataFrame:
-    """doc_id, n (shingles), digest (of the set), sig (BINS 16-bit values), keys (of bands), few (the set, if small)."""
+    """doc_id, n (shingles), digest (of the set), sig (BINS 16-bit values), wide (WIDE bytes), keys (of bands), few (the set, if small)."""
 
     def run(batches):
         import pyarrow as pa
 
         cache = hash_words()
         for part in blocks(batches):
-            n, digest, sigs, all_keys, few = [], [], [], [], []
+            n, digest, sigs, wide, all_keys, few = [], [], [], [], [], []
             for text in part.column("text").to_pylist():
                 s = shingles(text, cache)
                 n.append(len(s))
                 if not len(s):
-                    digest.append(None), sigs.append(None), all_keys.append(None), few.append(None)
+                    digest.append(None), sigs.append(None), wide.append(None), all_keys.append(None), few.append(None)
                     continue
                 sig = signature(s)
                 digest.append(xxhash.xxh3_128_digest(s.tobytes()))
                 sigs.append(sig.astype(np.uint16).tobytes())
+                wide.append(signature(s, WIDE).astype(np.uint8).tobytes())
                 all_keys.append(bands(sig).view(np.int64) if len(s) >= BANDED else [])
                 few.append(s.view(np.int64) if len(s) <= EXACT else [])
             cache.trim()
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(sigs, pa.binary()), pa.array(all_keys, pa.list_(pa.int64())), pa.array(few, pa.list_(pa.int64()))],
-                ["doc_id", "n", "digest", "sig", "keys", "few"],
+                [part.column("doc_id"), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(sigs, pa.binary()), pa.array(wide, pa.binary()), pa.array(all_keys, pa.list_(pa.int64())), pa.array(few, pa.list_(pa.int64()))],
+                ["doc_id", "n", "digest", "sig", "wide", "keys", "few"],
             )
 
     rows = plain(documents, doc_id="doc_id", text="text")
-    return rows.mapInArrow(run, "doc_id bigint, n bigint, digest binary, sig binary, keys array<bigint>, few array<bigint>")
+    return rows.mapInArrow(run, "doc_id bigint, n bigint, digest binary, sig binary, wide binary, keys array<bigint>, few array<bigint>")
 
 
 def _close(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     """(a, b) pairs whose signatures agree enough, or whose sets are too small to tell."""
-    sig = reps.select("id", "n", "sig")
+    sig = reps.select("id", "n", "wide")
     both = pairs.join(sig.toDF("a", "na", "sa"), "a").join(sig.toDF("b", "nb", "sb"), "b")
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            x = np.frombuffer(b"".join(batch.column("sa").to_pylist()), np.uint16).reshape(-1, BINS)
-            y = np.frombuffer(b"".join(batch.column("sb").to_pylist()), np.uint16).reshape(-1, BINS)
+            x = np.frombuffer(b"".join(batch.column("sa").to_pylist()), np.uint8).reshape(-1, WIDE)
+            y = np.frombuffer(b"".join(batch.column("sb").to_pylist()), np.uint8).reshape(-1, WIDE)
             least = np.minimum(batch.column("na").to_numpy(), batch.column("nb").to_numpy())
             good = ((x == y).mean(axis=1) >= CLOSE) | (least < BANDED)
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(good)), batch.column("b").filter(pa.array(good))], ["a", "b"])
@@ -145,11 +156,48 @@ def _close(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     return fits.mapInArrow(run, "a bigint, b bigint")
 
 
+def _places(ids: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    h = mix(ids.view(np.uint64))
+    return (h % np.uint64(bits)).astype(np.int64), ((h >> np.uint64(32)) % np.uint64(bits)).astype(np.int64)
+
+
+def _among(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows whose doc_id may be among `ids`: a Bloom filter of bounded size, made in the tasks, spares most other rows the shuffle.
+
+    Where there are more ids than it can tell apart it lets more rows pass; the join after it is what decides."""
+    bits = int(min(FILTER_BITS, max(1 << 10, 16 * ids.count())))
+
+    def build(batches):
+        import pyarrow as pa
+
+        mask = np.zeros(bits, bool)
+        for batch in batches:
+            for p in _places(batch.column(0).to_numpy(), bits):
+                mask[p] = True
+        yield pa.RecordBatch.from_pydict({"mask": [np.packbits(mask).tobytes()]})
+
+    mask = np.zeros(-(-bits // 8), np.uint8)
+    for r in ids.coalesce(8).mapInArrow(build, "mask binary").toLocalIterator():
+        mask |= np.frombuffer(r[0], np.uint8)
+    shared = rows.sparkSession.sparkContext.broadcast(mask)
+
+    def keep(batches):
+        import pyarrow as pa
+
+        m = shared.value
+        for batch in batches:
+            a, b = _places(batch.column("doc_id").to_numpy(), bits)
+            good = (m[a >> 3] >> (7 - (a & 7))) & (m[b >> 3] >> (7 - (b & 7))) & 1
+            yield batch.filter(pa.array(good.astype(bool)))
+
+    return rows.where("doc_id is not null").mapInArrow(keep, rows.schema)
+
+
 def confirmed(pairs: DataFrame, documents: DataFrame, threshold=(75, 100)) -> DataFrame:
     """The (a, b) pairs whose full sets meet the threshold: down * intersection >= up * union."""
     up, down = threshold
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = plain(documents, doc_id="doc_id", text="text").join(needed, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    needed = stored(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "needed")
+    texts = _among(plain(documents, doc_id="doc_id", text="text"), needed)
 
     def sets(batches):
         import pyarrow as pa
@@ -159,7 +207,7 @@ def confirmed(pairs: DataFrame, documents: DataFrame, threshold=(75, 100)) -> Da
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([shingles(t, cache).tobytes() for t in part.column("text").to_pylist()], pa.binary())], ["id", "set"])
             cache.trim()
 
-    own = texts.mapInArrow(sets, "id bigint, set binary")
+    own = texts.mapInArrow(sets, "id bigint, set binary").join(needed.withColumnRenamed("doc_id", "id"), "id", "left_semi").dropDuplicates(["id"])
 
     def run(batches):
         import pyarrow as pa
@@ -207,9 +255,9 @@ def _compared(members: DataFrame, reps: DataFrame) -> DataFrame:
     pair of chunks is one run of a sorted partition, compared block by block."""
     chunks = members.groupBy("key").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
     own = F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")
-    rows = members.join(chunks, "key").withColumn("own", own).join(reps.select("id", "n", "sig"), "id")
+    rows = members.join(chunks, "key").withColumn("own", own).join(reps.select("id", "n", "wide"), "id")
     other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
-    rows = rows.withColumn("other", other).select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "id", "component", "n", "sig")
+    rows = rows.withColumn("other", other).select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "id", "component", "n", "wide")
     rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
     def pairs(x):
@@ -228,7 +276,7 @@ def _compared(members: DataFrame, reps: DataFrame) -> DataFrame:
             ok &= least * 4 >= most * 3
             a, b, least = a[ok], b[ok], least[ok]
             if len(a):
-                near = ((x["sig"][a] == x["sig"][b]).mean(axis=1) >= CLOSE) | (least < BANDED)
+                near = ((x["wide"][a] == x["wide"][b]).mean(axis=1) >= CLOSE) | (least < BANDED)
                 out.append(np.stack([np.minimum(ids[a], ids[b])[near], np.maximum(ids[a], ids[b])[near]]))
             d += 1
         return np.concatenate(out, axis=1) if out else np.empty((2, 0), np.int64)
@@ -241,7 +289,7 @@ def _compared(members: DataFrame, reps: DataFrame) -> DataFrame:
             if not batch.num_rows:
                 continue
             new = {c: batch.column(c).to_numpy() for c in ("key", "i", "j", "side", "id", "component", "n")}
-            new["sig"] = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint16).reshape(-1, BINS)
+            new["wide"] = np.frombuffer(b"".join(batch.column("wide").to_pylist()), np.uint8).reshape(-1, WIDE)
             held = new if held is None else {c: np.concatenate([held[c], new[c]]) for c in new}
             starts = np.flatnonzero((held["key"][1:] != held["key"][:-1]) | (held["i"][1:] != held["i"][:-1]) | (held["j"][1:] != held["j"][:-1])) + 1
             cut = int(starts[-1]) if len(starts) else 0  # the last run may go on in the next batch
@@ -304,8 +352,8 @@ def near_duplicates(documents: DataFrame, threshold=(75, 100)) -> DataFrame:
     """doc_id, n_shingles, component_id, kept, class_id (smallest doc_id with an equal set)."""
     seen = stored(features(documents), "features")
     some = seen.where("digest is not null and doc_id is not null")
-    first = F.min_by(F.struct("doc_id", "n", "sig", "keys", "few"), "doc_id").alias("r")
-    reps = some.groupBy("digest").agg(first).select("digest", F.col("r.doc_id").alias("id"), "r.n", "r.sig", "r.keys", "r.few")
+    first = F.min_by(F.struct("doc_id", "n", "sig", "wide", "keys", "few"), "doc_id").alias("r")
+    reps = some.groupBy("digest").agg(first).select("digest", F.col("r.doc_id").alias("id"), "r.n", "r.sig", "r.wide", "r.keys", "r.few")
     reps = stored(reps, "classes")
     members = stored(_shared(reps.select(F.explode("keys").alias("key"), "id").union(_exact_keys(reps, threshold))), "buckets")
 
