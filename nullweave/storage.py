@@ -25,9 +25,17 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+def new_table(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; its files go when the driver's JVM ends."""
+    path = f"{shared_dir(spark)}/nullweave/{name}-{uuid.uuid4().hex}"
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    return path
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Cuts the lineage of `df`: written once to the shared folder, then read."""
-    path = f"{shared_dir(df.sparkSession)}/nullweave/{name}-{uuid.uuid4().hex}"
+    path = new_table(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
