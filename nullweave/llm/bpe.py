@@ -87,10 +87,20 @@ def literal_array(values) -> Column:
     return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
 
 
-def merge_column(word: Column, path: str) -> Column:
-    """Token ids of one pre-token given as an array of its unsigned bytes."""
+def rank_tables(path: str) -> tuple[Column, int]:
+    """The rank map as one struct literal (folded by the optimizer), and its multiplier."""
     first, slots, moved, m = rank_map(path)
-    first, slots, moved = literal_array(first), literal_array(slots), literal_array(moved)
+    return F.struct(literal_array(first).alias("first"), literal_array(slots).alias("slots"), literal_array(moved).alias("moved")), m
+
+
+def merge_words(words: Column, path: str) -> Column:
+    """Token ids of each pre-token of an array, given as arrays of unsigned bytes; the rank map is bound once."""
+    tables, m = rank_tables(path)
+    return F.get(F.transform(F.array(tables), lambda t: F.transform(words, lambda w: merge_column(w, t["first"], t["slots"], t["moved"], m))), F.lit(0))
+
+
+def merge_column(word: Column, first: Column, slots: Column, moved: Column, m: int) -> Column:
+    """Token ids of one pre-token given as an array of its unsigned bytes."""
 
     def rank(a, b):
         """The merged id, or a number over 2^16 if the pair doesn't merge."""
@@ -155,7 +165,7 @@ def _to_blocks(pattern: str):
 def encoded_blocks(documents: DataFrame, path: str, pattern: str) -> DataFrame:
     """Blocks of documents with the ids of their new distinct pre-tokens (column `ids`), in task order."""
     out = plain(documents, doc_id="doc_id", text="text").mapInArrow(_to_blocks(pattern), _BLOCK_SCHEMA)
-    return out.select("reset", "doc_id", "length", "flat", F.transform("words", lambda w: merge_column(w, path)).alias("ids"))
+    return out.select("reset", "doc_id", "length", "flat", merge_words(F.col("words"), path).alias("ids"))
 
 
 def _gathered(make):
