@@ -8,6 +8,7 @@ with the corpus is collected or broadcast without a checked bound.
 from __future__ import annotations
 
 import atexit
+import contextlib
 import re
 import shutil
 import tempfile
@@ -53,6 +54,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000):
+    """Fewer rows in an Arrow batch, for the eager steps within: rows that carry whole sets are large."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def plain(df: DataFrame, **columns: str) -> DataFrame:
     """Only the columns an operator reads, under its own names, so extra or clashing ones do no harm."""
     return df.select(*[F.col(f"`{old}`").alias(new) for new, old in columns.items()])

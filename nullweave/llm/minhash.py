@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_words, blocks, hash_words, mix, multipliers, plain, stored, windows
+from .common import ascii_words, blocks, hash_words, mix, multipliers, plain, small_batches, stored, windows
 
 SHINGLE = 5
 BINS = 128
@@ -161,10 +161,10 @@ def _places(ids: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return (h % np.uint64(bits)).astype(np.int64), ((h >> np.uint64(32)) % np.uint64(bits)).astype(np.int64)
 
 
-def _among(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows whose doc_id may be among `ids`: a Bloom filter of bounded size, made in the tasks, spares most other rows the shuffle.
+def _filter_of(ids: DataFrame):
+    """A Bloom filter of bounded size of a column of ids, made in the tasks: doc_ids -> which may be among them.
 
-    Where there are more ids than it can tell apart it lets more rows pass; the join after it is what decides."""
+    Where there are more ids than it can tell apart it lets more pass; the join after it is what decides."""
     bits = int(min(FILTER_BITS, max(1 << 10, 16 * ids.count())))
 
     def build(batches):
@@ -179,31 +179,27 @@ def _among(rows: DataFrame, ids: DataFrame) -> DataFrame:
     mask = np.zeros(-(-bits // 8), np.uint8)
     for r in ids.coalesce(8).mapInArrow(build, "mask binary").toLocalIterator():
         mask |= np.frombuffer(r[0], np.uint8)
-    shared = rows.sparkSession.sparkContext.broadcast(mask)
-
-    def keep(batches):
-        import pyarrow as pa
+    shared = ids.sparkSession.sparkContext.broadcast(mask)
 
+    def among(docs: np.ndarray) -> np.ndarray:
         m = shared.value
-        for batch in batches:
-            a, b = _places(batch.column("doc_id").to_numpy(), bits)
-            good = (m[a >> 3] >> (7 - (a & 7))) & (m[b >> 3] >> (7 - (b & 7))) & 1
-            yield batch.filter(pa.array(good.astype(bool)))
+        a, b = _places(docs, bits)
+        return ((m[a >> 3] >> (7 - (a & 7))) & (m[b >> 3] >> (7 - (b & 7))) & 1).astype(bool)
 
-    return rows.where("doc_id is not null").mapInArrow(keep, rows.schema)
+    return among
 
 
 def confirmed(pairs: DataFrame, documents: DataFrame, threshold=(75, 100)) -> DataFrame:
     """The (a, b) pairs whose full sets meet the threshold: down * intersection >= up * union."""
     up, down = threshold
     needed = stored(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "needed")
-    texts = _among(plain(documents, doc_id="doc_id", text="text"), needed)
+    texts, among = plain(documents, doc_id="doc_id", text="text").where("doc_id is not null"), _filter_of(needed)
 
     def sets(batches):
         import pyarrow as pa
 
         cache = hash_words()
-        for part in blocks(batches):
+        for part in blocks(b.filter(pa.array(among(b.column("doc_id").to_numpy()))) for b in batches):
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([shingles(t, cache).tobytes() for t in part.column("text").to_pylist()], pa.binary())], ["id", "set"])
             cache.trim()
 
@@ -350,6 +346,11 @@ def _exact_keys(reps: DataFrame, threshold) -> DataFrame:
 
 def near_duplicates(documents: DataFrame, threshold=(75, 100)) -> DataFrame:
     """doc_id, n_shingles, component_id, kept, class_id (smallest doc_id with an equal set)."""
+    with small_batches(documents.sparkSession):
+        return _near_duplicates(documents, threshold)
+
+
+def _near_duplicates(documents: DataFrame, threshold) -> DataFrame:
     seen = stored(features(documents), "features")
     some = seen.where("digest is not null and doc_id is not null")
     first = F.min_by(F.struct("doc_id", "n", "sig", "wide", "keys", "few"), "doc_id").alias("r")
