@@ -29,7 +29,7 @@ def _table(spark: SparkSession, path: str) -> DataFrame:
         return spark.read.parquet(path)
     if kind in ARROW:
         register(spark)
-        return spark.read.format("nullweave_ipc").option("path", path).load(path)
+        return spark.read.format("nullweave_ipc").load(path)
     raise ValueError(f"unknown format {kind!r} of {path}")
 
 
