@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, covertree, decontaminate, html, langid, minhash, quality, substring, token_counts, token_ids
+from . import bpe, covertree, decontaminate, html, langid, minhash, oracles, quality, substring, token_counts, token_ids
 from .common import crc_mod, plain
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -69,4 +69,9 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_html_text, op3_quality, op4_near_duplicates, op5_language, op6_top_k, op7_token_ids, op8_substrings, op9_token_counts, op10_decontamination)}
-ORACLE: dict[str, str] = {}
+ORACLE = {
+    "op4_near_duplicates": oracles.NEAR_DUPLICATES,
+    "op6_top_k": oracles.TOP_K,
+    "op8_substrings": oracles.SUBSTRINGS,
+    "op10_decontamination": oracles.DECONTAMINATION,
+}
