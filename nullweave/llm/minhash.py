@@ -11,7 +11,7 @@ What stars leave open is settled then: members of one bucket that are in
 different components after the star edges are compared by signature inside the
 task that holds the bucket, and only close pairs leave it.  Large open buckets
 (a passage that many documents share fills whole bands) are first dealt anew by
-`FINE` keys of `FINE_ROWS` bins each, which only similar documents share; what
+`FINE` keys of `FINE_ROWS` spread bins each, which similar documents share; what
 is still large is compared in chunks.  Texts of few shingles get exact keys
 instead of bands: their n - ceil(0.75 n) + 1 rarest shingles, of which two sets
 at 0.75 share one.
@@ -20,7 +20,7 @@ Documents with equal sets are one class from the start (a copy costs a row, not
 a pair); every link is confirmed on full sets, in integers.  Components come
 from alternating large-star and small-star steps; nothing is collected.
 
-A pair at the threshold misses all bands with a chance of 5e-6 and falls below
+A pair at the threshold misses all bands with a chance of 5e-6, all finer keys with 2e-5, and falls below
 `CLOSE` with 4e-5; both fall quickly with higher similarity.
 
 Defined cases: a null text or one without words has no shingles and stands
@@ -50,7 +50,7 @@ CLOSE = 0.675
 #: Most bits of the filter of wanted documents (16 MB).
 FILTER_BITS = 1 << 27
 #: Members above which an open bucket is dealt anew; keys and bins of each key for that.
-LARGE, FINE, FINE_ROWS = 64, 100, 8
+LARGE, FINE, FINE_ROWS = 64, 40, 5
 #: Members that one task compares with as many others.
 CHUNK = 512
 
