@@ -104,25 +104,24 @@ def merge_column(word: Column, first: Column, slots: Column, moved: Column, m: i
 
     def rank(a, b):
         """The merged id, or a number over 2^16 if the pair doesn't merge."""
-        key = a * (1 << ID_BITS) + b
+        key = F.shiftleft(a, ID_BITS).bitwiseOR(b)
         d = F.get(moved, F.shiftright(key * 1_103_515_245, 20).bitwiseAND(_MASK_BUCKETS))
         entry = F.get(slots, (F.shiftright(key * m, 22) + d).bitwiseAND(_MASK_SLOTS))
-        return entry.bitwiseXOR(key * (1 << ID_BITS))
+        return entry.bitwiseXOR(F.shiftleft(key, ID_BITS))
 
     none = F.array().cast("array<bigint>")
 
     def merged(s, low, i):
+        """Pieces i and i + 1 become one; the pair goes and its neighbours are ranked anew."""
         p, r = s["p"], s["r"]
-        left = F.when(i > 1, F.array(rank(F.get(p, i - 2), low))).otherwise(none)
-        right = F.when(i + 1 < F.size(p), F.array(rank(low, F.get(p, i + 1)))).otherwise(none)
-        return F.struct(
-            F.concat(F.slice(p, 1, i - 1), F.array(low), F.slice(p, i + 2, F.size(p))).alias("p"),
-            F.concat(F.slice(r, 1, F.greatest(i - 2, F.lit(0))), left, right, F.slice(r, i + 2, F.size(p))).alias("r"),
-        )
+        pieces = F.filter(F.transform(p, lambda x, k: F.when(k == i, low).otherwise(x)), lambda _, k: k != i + 1)
+        new = lambda k: F.when(k < i, rank(F.get(p, k), low)).otherwise(rank(low, F.get(p, k + 1)))
+        near = lambda x, k: F.when(F.abs(k - i) == 1, new(k)).otherwise(x)
+        return F.struct(pieces.alias("p"), F.filter(F.transform(r, near), lambda _, k: k != i).alias("r"))
 
     def step(s, _):
         def lowest(low):
-            at = F.transform(F.array(F.array_position(s["r"], low).cast("int")), lambda i: merged(s, low, i))
+            at = F.transform(F.array(F.array_position(s["r"], low).cast("int") - 1), lambda i: merged(s, low, i))
             return F.when(low < 1 << ID_BITS, F.get(at, F.lit(0))).otherwise(s)
 
         return F.get(F.transform(F.array(F.array_min(s["r"])), lowest), F.lit(0))
