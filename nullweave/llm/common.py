@@ -23,7 +23,7 @@ SETTING = "spark.checkpoint.dir"
 #: Characters of text that a block of documents holds before it is worked off.
 BLOCK_CHARS = 2_000_000
 #: Entries a worker's word cache may hold before it is emptied.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 200_000
 
 
 def shared_dir(spark: SparkSession) -> str:
