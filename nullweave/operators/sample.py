@@ -15,8 +15,10 @@ from ..schema import Constraint, Ensemble, Family, Fit
 from ..storage import global_row_number, stored
 from . import pairs as P
 
-#: Buckets among which events are dealt by cumulative weight.
-BUCKETS = 256
+#: Most buckets among which events are dealt by cumulative weight, and rows that fill one.
+BUCKETS, BUCKET_ROWS = 256, 20_000
+#: Events that fill one part of a bucket.
+PART_EVENTS = 1_000_000
 
 
 def independent(rows: DataFrame, law: Law, seed: int, keys=("source", "target")) -> DataFrame:
@@ -45,7 +47,10 @@ def placed(events: DataFrame, table: DataFrame, weight: str, u: str, keys: list[
 
     Rows are dealt to buckets by a hash; an event finds its bucket by the bucket
     totals (`BUCKETS` numbers), and its row within the bucket."""
-    bucketed = table.where(F.col(weight) > 0).withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int"))
+    positive = table.where(F.col(weight) > 0)
+    buckets = max(1, min(BUCKETS, positive.count() // BUCKET_ROWS))
+    parts = max(1, min(1024, events.count() // (buckets * PART_EVENTS)))
+    bucketed = positive.withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
     sums = dict(map(tuple, bucketed.groupBy("_bucket").agg(F.sum(weight)).collect()))
     names = sorted(sums)
     if not names:
@@ -72,9 +77,9 @@ def placed(events: DataFrame, table: DataFrame, weight: str, u: str, keys: list[
         return out
 
     renamed = dealt.withColumnRenamed("_bucket", "_of")
-    # a hot bucket of events can be split: placing needs no other events
-    salted = renamed.withColumn("_salt", F.pmod(F.xxhash64(*columns), F.lit(8)).cast("int")) if columns else renamed.withColumn("_salt", F.lit(0))
-    spread = bucketed.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(7))))
+    # a bucket of many events is split: placing needs no other events
+    salted = renamed.withColumn("_salt", F.pmod(F.xxhash64("_x"), F.lit(parts)).cast("int"))
+    spread = bucketed.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     return salted.groupBy("_of", "_salt").cogroup(spread.groupBy("_bucket", "_salt")).applyInPandas(find, T.StructType(fields))
 
 

@@ -434,6 +434,60 @@ for _label, _family, _m in _FAMILIES:
     _filter_cost_query(f"filter_{_label}_strength_cost", _family, _m)
 
 
+# --- filters of every cell under stated multipliers, against the laws written out in SQL ---
+
+_CELL_Q = "(s1.s_out / SQRT(total)) * (s2.s_in / SQRT(total)) / 40"
+_TERMS = {
+    Family.ME: ("q", "q", "EXP(k * LN(q) - q - LGAMMA(k + 1))"),
+    Family.B: ("{m} * LN(1 + q)", "{m} * q / (1 + q)", "CASE WHEN k <= {m} THEN EXP(LGAMMA({m} + 1) - LGAMMA(k + 1) - LGAMMA(GREATEST({m} - k, 0) + 1) + k * LN(q) - {m} * LN(1 + q)) ELSE 0 END"),
+    Family.W: ("-{m} * LN(1 - q)", "{m} * q / (1 - q)", "EXP(LGAMMA({m} + k) - LGAMMA(k + 1) - LGAMMA({m}) + k * LN(q) + {m} * LN(1 - q))"),
+}
+
+
+def _cell_query(label, family, m, constraint):
+    """Multipliers are fixed functions of the network, so that only the filter is at work."""
+    u, mean, term = (t.format(m=m) for t in _TERMS[family])
+    side = "CEIL(SQRT((SELECT COUNT(*) FROM s)))"
+    dist = f"SQRT(POWER(s1.node % {side} - s2.node % {side}, 2) + POWER(FLOOR(s1.node / {side}) - FLOOR(s2.node / {side}), 2))"
+    q, odds = {
+        Constraint.STRENGTH: (_CELL_Q, None),
+        Constraint.STRENGTH_COST: (f"{_CELL_Q} * EXP(-0.05 * {dist})", None),
+        Constraint.STRENGTH_EDGES: (_CELL_Q, "0.7"),
+        Constraint.STRENGTH_DEGREE: (_CELL_Q, "(s1.k_out / SQRT(edges)) * (s2.k_in / SQRT(edges))"),
+        Constraint.DEGREE_EVENTS: ("0.4", "(s1.k_out / SQRT(edges)) * (s2.k_in / SQRT(edges))"),
+    }[constraint]
+    pi = "NULL" if odds is None else "o / (1 + o)" if constraint == Constraint.DEGREE_EVENTS else "1 / (1 + 1 / (o * (EXP(u) - 1)))"
+    sql = _base(SEQ) + f"""
+, r AS (SELECT e.source, e.target, e.weight, CAST({q} AS DOUBLE) AS q, CAST({odds or 0} AS DOUBLE) AS o FROM e JOIN s s1 ON e.source = s1.node JOIN s s2 ON e.target = s2.node, t),
+v AS (SELECT *, {u} AS u, {mean} AS mean, LEAST(1, LIST_SUM(LIST_TRANSFORM(RANGE(0, weight + 1), lambda k: {term}))) AS c, LEAST(1, LIST_SUM(LIST_TRANSFORM(RANGE(0, weight), lambda k: {term}))) AS b FROM r),
+z AS (SELECT *, {pi} AS pi, 1 - EXP(-u) AS pos FROM v),
+w AS (SELECT source, target, weight, COALESCE(pi, pos) AS occ, COALESCE(pi * mean / pos, mean) AS expected,
+ COALESCE(pi * LEAST(1, GREATEST(0, (1 - b) / pos)), 1 - b) AS u0, COALESCE(1 - pi + pi * LEAST(1, GREATEST(0, (c - EXP(-u)) / pos)), c) AS l0 FROM z)
+SELECT source, target, weight, ROUND(LEAST(u0 / occ, 1), 6) AS upper_pvalue, ROUND(LEAST(1, GREATEST(0, (l0 - (1 - occ)) / occ)), 6) AS lower_pvalue, ROUND(expected, 6) AS expected, ROUND(occ, 6) AS occupation FROM w"""
+
+    def run(spark, sf_dir):
+        import numpy as np
+
+        from ..schema import Fit
+
+        edges = N.user_seq(spark, sf_dir)
+        own = ST.constraints_of(edges)
+        t, k = np.sqrt(own["total_events"]), np.sqrt(own["target_edges"])
+        x, y = own["strength_out"] / t, own["strength_in"] / t / 40
+        z, w = own["degree_out"] / k, own["degree_in"] / k
+        if constraint == Constraint.DEGREE_EVENTS:
+            x, y = z, w
+        fit = Fit(constraint, family, m, True, x, y, z, w, gamma=0.05, lam=0.7, q=0.4, coordinates=N.grid(len(x)))
+        return _round(FO.observed(edges, fit), 6, "upper_pvalue", "lower_pvalue", "expected", "occupation")
+
+    QUERIES[f"filter_cell_{label}_{constraint}"], ORACLE[f"filter_cell_{label}_{constraint}"] = run, sql
+
+
+for _label, _family, _m in (("me", Family.ME, 1), ("b20", Family.B, 20), ("w1", Family.W, 1), ("w3", Family.W, 3)):
+    for _constraint in (Constraint.STRENGTH, Constraint.STRENGTH_COST, Constraint.STRENGTH_EDGES, Constraint.STRENGTH_DEGREE, Constraint.DEGREE_EVENTS):
+        _cell_query(_label, _family, _m, _constraint)
+
+
 # --- partial fits ---------------------------------------------------------
 
 

@@ -183,16 +183,3 @@ def test_positive_means():
     assert K.solve_positive_mean(Family.B, 3, 3.0) == math.inf
     with pytest.raises(ValueError, match="infeasible"):
         K.solve_positive_mean(Family.B, 3, 4.0)
-
-
-def test_goldens():
-    """Archived strengths: fits of ME and B meet every one of them."""
-    import os
-
-    path = os.environ.get("GOLDEN_STRENGTHS", "")
-    if not os.path.exists(path):
-        pytest.skip("no archived strengths here")
-    t = np.loadtxt(path)
-    for family, layers in ((Family.ME, 1), (Family.B, 37)):
-        fit = FIT.fit(Constraint.STRENGTH, family, t[:, 1], t[:, 2], layers=layers, self_loops=False, tolerance=1e-9)
-        assert fit.converged and fit.diagnostics.max_strength_residual < 1e-6 * t.max()
