@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, plain
+from .common import blocks, plain, trimmed
 from .pretokens import Indexer, Splitter
 
 #: Bits of a token id in the packed entries of the rank map.
@@ -163,7 +163,7 @@ def _to_blocks(pattern: str):
 
 def encoded_blocks(documents: DataFrame, path: str, pattern: str) -> DataFrame:
     """Blocks of documents with the ids of their new distinct pre-tokens (column `ids`), in task order."""
-    out = plain(documents, doc_id="doc_id", text="text").mapInArrow(_to_blocks(pattern), _BLOCK_SCHEMA)
+    out = plain(documents, doc_id="doc_id", text="text").mapInArrow(trimmed(_to_blocks(pattern)), _BLOCK_SCHEMA)
     return out.select("reset", "doc_id", "length", "flat", merge_words(F.col("words"), path).alias("ids"))
 
 
@@ -206,7 +206,7 @@ def encode(documents: DataFrame, path: str, pattern: str) -> DataFrame:
             pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))]),
         )
 
-    return encoded_blocks(documents, path, pattern).mapInArrow(_gathered(make), "doc_id bigint, ids array<int>")
+    return encoded_blocks(documents, path, pattern).mapInArrow(trimmed(_gathered(make)), "doc_id bigint, ids array<int>")
 
 
 def encode_checked(documents: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -226,7 +226,7 @@ def encode_checked(documents: DataFrame, path: str, pattern: str) -> DataFrame:
 
         return word, row, pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded_sha256", pa.string())])
 
-    return encoded_blocks(documents, path, pattern).mapInArrow(_gathered(make), "doc_id bigint, n_tokens bigint, ids array<int>, decoded_sha256 string")
+    return encoded_blocks(documents, path, pattern).mapInArrow(trimmed(_gathered(make)), "doc_id bigint, n_tokens bigint, ids array<int>, decoded_sha256 string")
 
 
 def decode(ids: Column, path: str) -> Column:
@@ -260,4 +260,4 @@ def round_trip(documents: DataFrame, path: str, pattern: str) -> DataFrame:
 
         return word, row, pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
-    return encoded_blocks(documents, path, pattern).mapInArrow(_gathered(make), "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return encoded_blocks(documents, path, pattern).mapInArrow(trimmed(_gathered(make)), "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")

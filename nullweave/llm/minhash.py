@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_words, blocks, hash_words, mix, multipliers, plain, small_batches, stored, windows
+from .common import ascii_words, blocks, hash_words, mix, multipliers, plain, small_batches, stored, trimmed, windows
 
 SHINGLE = 5
 BINS = 128
@@ -134,7 +134,7 @@ def features(documents: DataFrame) -> DataFrame:
             )
 
     rows = plain(documents, doc_id="doc_id", text="text")
-    return rows.mapInArrow(run, "doc_id bigint, n bigint, digest binary, sig binary, wide binary, keys array<bigint>, few array<bigint>")
+    return rows.mapInArrow(trimmed(run), "doc_id bigint, n bigint, digest binary, sig binary, wide binary, keys array<bigint>, few array<bigint>")
 
 
 def _close(pairs: DataFrame, reps: DataFrame) -> DataFrame:
@@ -153,7 +153,7 @@ def _close(pairs: DataFrame, reps: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(good)), batch.column("b").filter(pa.array(good))], ["a", "b"])
 
     fits = both.where("least(na, nb) * 4 >= greatest(na, nb) * 3").select("a", "b", "na", "nb", "sa", "sb")
-    return fits.mapInArrow(run, "a bigint, b bigint")
+    return fits.mapInArrow(trimmed(run), "a bigint, b bigint")
 
 
 def _places(ids: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -203,7 +203,7 @@ def confirmed(pairs: DataFrame, documents: DataFrame, threshold=(75, 100)) -> Da
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([shingles(t, cache).tobytes() for t in part.column("text").to_pylist()], pa.binary())], ["id", "set"])
             cache.trim()
 
-    own = texts.mapInArrow(sets, "id bigint, set binary").join(needed.withColumnRenamed("doc_id", "id"), "id", "left_semi").dropDuplicates(["id"])
+    own = texts.mapInArrow(trimmed(sets), "id bigint, set binary").join(needed.withColumnRenamed("doc_id", "id"), "id", "left_semi").dropDuplicates(["id"])
 
     def run(batches):
         import pyarrow as pa
@@ -220,7 +220,7 @@ def confirmed(pairs: DataFrame, documents: DataFrame, threshold=(75, 100)) -> Da
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(good), batch.column("b").filter(good)], ["a", "b"])
 
     joined = pairs.join(own.toDF("a", "sa"), "a").join(own.toDF("b", "sb"), "b").select("a", "b", "sa", "sb")
-    return joined.mapInArrow(run, "a bigint, b bigint")
+    return joined.mapInArrow(trimmed(run), "a bigint, b bigint")
 
 
 def components(edges: DataFrame, rounds: int = 30) -> DataFrame:
@@ -297,7 +297,7 @@ def _compared(members: DataFrame, reps: DataFrame) -> DataFrame:
             got = pairs(_runs(held, np.empty(0, np.int64)))
             yield pa.RecordBatch.from_pydict({"a": got[0], "b": got[1]})
 
-    return rows.mapInArrow(run, "a bigint, b bigint").distinct()
+    return rows.mapInArrow(trimmed(run), "a bigint, b bigint").distinct()
 
 
 def _runs(x: dict, starts: np.ndarray) -> dict:
@@ -331,7 +331,7 @@ def _fine(ids: DataFrame, reps: DataFrame) -> DataFrame:
                 sig = np.frombuffer(b"".join(part.column("sig").to_pylist()), np.uint16).reshape(-1, BINS)
                 yield pa.RecordBatch.from_pydict({"key": fine_keys(sig).view(np.int64).ravel(), "id": np.repeat(part.column("id").to_numpy(), FINE)})
 
-    return reps.join(ids, "id", "left_semi").select("id", "sig").mapInArrow(run, "key bigint, id bigint")
+    return reps.join(ids, "id", "left_semi").select("id", "sig").mapInArrow(trimmed(run), "key bigint, id bigint")
 
 
 def _exact_keys(reps: DataFrame, threshold) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import blocks, hash_words, mix, plain
+from .common import blocks, hash_words, mix, plain, trimmed
 
 BITS = 18
 SCALE = 8.0
@@ -87,7 +87,7 @@ def train(documents: DataFrame, labels: DataFrame, label: str = "quality", train
             cache.trim()
 
     kind = dict(sample.dtypes)
-    extracted = texts.select("doc_id", "y", "text").mapInArrow(extract, f"doc_id {kind['doc_id']}, y {kind['y']}, buckets binary")
+    extracted = texts.select("doc_id", "y", "text").mapInArrow(trimmed(extract), f"doc_id {kind['doc_id']}, y {kind['y']}, buckets binary")
 
     def fit(_, pdf):
         import pandas as pd
@@ -123,4 +123,4 @@ def score(documents: DataFrame, weights: np.ndarray) -> DataFrame:
             cache.trim()
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(got, pa.float64())], [*part.schema.names, "score"])
 
-    return documents.mapInArrow(run, schema)
+    return documents.mapInArrow(trimmed(run), schema)

@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_words, blocks, hash_words, mix, partitions, plain, stored, windows
+from .common import ascii_words, blocks, hash_words, mix, partitions, plain, stored, trimmed, windows
 
 WINDOW = 13
 #: Bytes of a packed hash; its lowest bit says that the window is an indexed one.
@@ -185,7 +185,7 @@ def anchors(documents: DataFrame, window: int, parts: int) -> DataFrame:
             yield _pack(ids, texts, rows[: len(w)][good], w[good], at[: len(w)][good] % k == 0, parts)
             cache.trim()
 
-    return documents.mapInArrow(run, _PACKED_SCHEMA)
+    return documents.mapInArrow(trimmed(run), _PACKED_SCHEMA)
 
 
 def _candidates(rows: DataFrame, window: int, parts: int) -> DataFrame:
@@ -208,7 +208,7 @@ def _candidates(rows: DataFrame, window: int, parts: int) -> DataFrame:
             cache.trim()
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", "text_hash", "text")), pa.array(out, pa.binary())], ["doc_id", "text_hash", "text", "starts"])
 
-    return rows.mapInArrow(run, "doc_id bigint, text_hash int, text string, starts binary")
+    return rows.mapInArrow(trimmed(run), "doc_id bigint, text_hash int, text string, starts binary")
 
 
 def _exact(rows: DataFrame, window: int, parts: int) -> DataFrame:
@@ -223,7 +223,7 @@ def _exact(rows: DataFrame, window: int, parts: int) -> DataFrame:
             yield _pack(part.column("doc_id").to_numpy(), part.column("text_hash").to_numpy(), np.repeat(np.arange(len(n), dtype=np.int32), n), h, np.ones(len(h), bool), parts)
             cache.trim()
 
-    return rows.mapInArrow(run, _PACKED_SCHEMA)
+    return rows.mapInArrow(trimmed(run), _PACKED_SCHEMA)
 
 
 def removals(documents: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -266,7 +266,7 @@ def removals(documents: DataFrame, window: int = WINDOW) -> DataFrame:
             yield pa.RecordBatch.from_pylist(out, pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int32()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("spans", span), ("kept_text", pa.string())]))
 
     schema = "doc_id bigint, text_hash int, n_words bigint, n_removed bigint, spans array<struct<start: bigint, end: bigint>>, kept_text string"
-    return held.join(repeats, ["doc_id", "text_hash"]).mapInArrow(run, schema).dropDuplicates(["doc_id", "text_hash"])
+    return held.join(repeats, ["doc_id", "text_hash"]).mapInArrow(trimmed(run), schema).dropDuplicates(["doc_id", "text_hash"])
 
 
 def words_of(documents: DataFrame) -> DataFrame:
@@ -284,7 +284,7 @@ def words_of(documents: DataFrame) -> DataFrame:
                 ["doc_id", "text_hash", "n_words", "kept_sha256"],
             )
 
-    return keyed(documents).mapInArrow(run, "doc_id bigint, text_hash int, n_words bigint, kept_sha256 string")
+    return keyed(documents).mapInArrow(trimmed(run), "doc_id bigint, text_hash int, n_words bigint, kept_sha256 string")
 
 
 def digests(documents: DataFrame, window: int = WINDOW) -> DataFrame:

@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from .bpe import load_ranks
-from .common import blocks, plain
+from .common import blocks, plain, trimmed
 from .pretokens import Indexer, Splitter
 
 
@@ -81,4 +81,4 @@ def token_counts(documents: DataFrame, path: str, pattern: str) -> DataFrame:
                 ["doc_id", "n_pretokens", "n_tokens", "score"],
             )
 
-    return plain(documents, doc_id="doc_id", text="text").mapInArrow(run, "doc_id bigint, n_pretokens bigint, n_tokens bigint, score double")
+    return plain(documents, doc_id="doc_id", text="text").mapInArrow(trimmed(run), "doc_id bigint, n_pretokens bigint, n_tokens bigint, score double")

@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, new_table, partitions, plain
+from .common import blocks, new_table, partitions, plain, trimmed
 from .pretokens import Indexer, Splitter
 
 FORMAT = "shard int, block bigint, first bigint, doc_ids array<bigint>, lengths array<bigint>, bits int, payload binary"
@@ -119,7 +119,7 @@ def packed_documents(documents: DataFrame, path: str, pattern: str, end_id: int
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "payload", "shard"])
 
     rows = plain(documents, doc_id="doc_id", text="text")
-    return rows.mapInArrow(run, "doc_id bigint, n_tokens bigint, payload binary, shard int").withColumn("bits", F.lit(width(tokenizer(path).get_vocab_size())))
+    return rows.mapInArrow(trimmed(run), "doc_id bigint, n_tokens bigint, payload binary, shard int").withColumn("bits", F.lit(width(tokenizer(path).get_vocab_size())))
 
 
 def write(documents: DataFrame, folder: str, path: str, pattern: str, end_id: int | None = 0) -> None:
@@ -157,7 +157,7 @@ def write(documents: DataFrame, folder: str, path: str, pattern: str, end_id: in
         if docs:
             yield row()
 
-    ordered.mapInArrow(run, FORMAT).write.parquet(folder)
+    ordered.mapInArrow(trimmed(run), FORMAT).write.parquet(folder)
 
 
 def read(spark, folder: str, each, schema: str) -> DataFrame:
@@ -184,7 +184,7 @@ def read(spark, folder: str, each, schema: str) -> DataFrame:
                     at += n
                 yield pa.RecordBatch.from_pylist(out)
 
-    return table.mapInArrow(run, f"doc_id bigint, start bigint, {schema}")
+    return table.mapInArrow(trimmed(run), f"doc_id bigint, start bigint, {schema}")
 
 
 def digests(documents: DataFrame, path: str, pattern: str, end_id: int = 0) -> DataFrame:
