@@ -463,7 +463,7 @@ v AS (SELECT *, {u} AS u, {mean} AS mean, LEAST(1, LIST_SUM(LIST_TRANSFORM(RANGE
 z AS (SELECT *, {pi} AS pi, 1 - EXP(-u) AS pos FROM v),
 w AS (SELECT source, target, weight, COALESCE(pi, pos) AS occ, COALESCE(pi * mean / pos, mean) AS expected,
  COALESCE(pi * LEAST(1, GREATEST(0, (1 - b) / pos)), 1 - b) AS u0, COALESCE(1 - pi + pi * LEAST(1, GREATEST(0, (c - EXP(-u)) / pos)), c) AS l0 FROM z)
-SELECT source, target, weight, ROUND(LEAST(u0 / occ, 1), 6) AS upper_pvalue, ROUND(LEAST(1, GREATEST(0, (l0 - (1 - occ)) / occ)), 6) AS lower_pvalue, ROUND(expected, 6) AS expected, ROUND(occ, 6) AS occupation FROM w"""
+SELECT source, target, weight, ROUND(LEAST(u0 / occ, 1), 9) AS upper_pvalue, ROUND(LEAST(1, GREATEST(0, (l0 - (1 - occ)) / occ)), 9) AS lower_pvalue, ROUND(expected, 9) AS expected, ROUND(occ, 9) AS occupation FROM w"""
 
     def run(spark, sf_dir):
         import numpy as np
@@ -478,7 +478,7 @@ SELECT source, target, weight, ROUND(LEAST(u0 / occ, 1), 6) AS upper_pvalue, ROU
         if constraint == Constraint.DEGREE_EVENTS:
             x, y = z, w
         fit = Fit(constraint, family, m, True, x, y, z, w, gamma=0.05, lam=0.7, q=0.4, coordinates=N.grid(len(x)))
-        return _round(FO.observed(edges, fit), 6, "upper_pvalue", "lower_pvalue", "expected", "occupation")
+        return _round(FO.observed(edges, fit), 9, "upper_pvalue", "lower_pvalue", "expected", "occupation")
 
     QUERIES[f"filter_cell_{label}_{constraint}"], ORACLE[f"filter_cell_{label}_{constraint}"] = run, sql
 
