@@ -136,6 +136,6 @@ def proximity(documents: DataFrame, phrases: DataFrame, distance: int) -> DataFr
 
 
 def clean(documents: DataFrame, benchmark: DataFrame, n: int = WINDOW, least_items: int = 2) -> DataFrame:
-    """All columns of the documents that aren't contaminated."""
+    """All columns of the documents that aren't contaminated; rows without a doc_id can't be named and stay."""
     bad = decontaminate(documents, benchmark, n, least_items).where("contaminated").select("doc_id").distinct()
     return documents.join(bad, "doc_id", "left_anti").select(*documents.columns)

@@ -381,6 +381,9 @@ def _near_duplicates(documents: DataFrame, threshold) -> DataFrame:
 
 
 def one_of_each(documents: DataFrame, threshold=(75, 100)) -> DataFrame:
-    """All columns of the documents that stand for their component (the smallest doc_id); of equal rows one stays."""
+    """All columns of the documents that stand for their component (the smallest doc_id).
+
+    Of rows with the same doc_id and text one stays; rows without a doc_id are linked with nothing and stay."""
     kept = near_duplicates(documents, threshold).where("kept").select("doc_id").distinct()
-    return documents.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*documents.columns)
+    stay = documents.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return stay.select(*documents.columns).union(documents.where("doc_id is null"))

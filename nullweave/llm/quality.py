@@ -105,10 +105,10 @@ def train(documents: DataFrame, labels: DataFrame, label: str = "quality", train
     return np.frombuffer(found[0][0], np.float32) if found else np.zeros((1 << BITS) + 1, np.float32)
 
 
-def score(documents: DataFrame, weights: np.ndarray) -> DataFrame:
-    """All columns of `documents` and `score` (0 to 1) of every whole text."""
-    name, documents = "text", documents.drop("score")
-    schema = T.StructType([*documents.schema.fields, T.StructField("score", T.DoubleType())])
+def score(documents: DataFrame, weights: np.ndarray, column: str = "score") -> DataFrame:
+    """All columns of `documents` and the score (0 to 1) of every whole text; a column of its name is replaced."""
+    name, documents = "text", documents.drop(column)
+    schema = T.StructType([*documents.schema.fields, T.StructField(column, T.DoubleType())])
 
     def run(batches):
         import pyarrow as pa
@@ -121,6 +121,6 @@ def score(documents: DataFrame, weights: np.ndarray) -> DataFrame:
                 x = float(weights[b].sum(dtype=np.float64)) * SCALE / max(1, len(b)) + float(weights[-1])
                 got.append(1 / (1 + np.exp(-min(35.0, max(-35.0, x)))))
             cache.trim()
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(got, pa.float64())], [*part.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(got, pa.float64())], [*part.schema.names, column])
 
     return documents.mapInArrow(trimmed(run), schema)

@@ -23,9 +23,10 @@ table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import itertools
+import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import ascii_words, blocks, hash_words, mix, partitions, plain, stored, trimmed, windows
@@ -43,10 +44,15 @@ def block_words(window: int) -> int:
     return (window + 1) // 2
 
 
+def text_key(text) -> Column:
+    """A 32-bit key of a text, to tell rows that share a doc_id apart."""
+    return F.xxhash64(text).cast("string").substr(-9, 9).cast("int")
+
+
 def keyed(documents: DataFrame) -> DataFrame:
     """doc_id, text_hash, text: the hash tells rows that share a doc_id apart."""
     rows = plain(documents, doc_id="doc_id", text="text")
-    return rows.select("doc_id", F.xxhash64("text").cast("string").substr(-9, 9).cast("int").alias("text_hash"), "text")
+    return rows.select("doc_id", text_key("text").alias("text_hash"), "text")
 
 
 def _parts(h: np.ndarray, parts: int) -> np.ndarray:
@@ -296,7 +302,8 @@ def digests(documents: DataFrame, window: int = WINDOW) -> DataFrame:
 
 def deduplicated(documents: DataFrame, window: int = WINDOW) -> DataFrame:
     """All rows and columns; the text of a document that loses words is its kept words joined by one space."""
-    lost = removals(documents, window).select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash"), F.col("kept_text").alias("_kept"))
-    rows = documents.withColumn("_own", F.xxhash64("text").cast("string").substr(-9, 9).cast("int"))
-    joined = rows.join(lost, (F.col("doc_id") == F.col("_doc")) & (F.col("_own") == F.col("_hash")), "left")
-    return joined.withColumn("text", F.coalesce("_kept", "text")).select(*documents.columns)
+    tag = f"_{uuid.uuid4().hex}"  # no column of the documents has such a name
+    doc, own, kept = f"{tag}_doc", f"{tag}_own", f"{tag}_kept"
+    lost = removals(documents, window).select(F.col("doc_id").alias(doc), F.col("text_hash").alias(own), F.col("kept_text").alias(kept))
+    joined = documents.join(lost, (documents["doc_id"] == F.col(doc)) & (text_key(documents["text"]) == F.col(own)), "left")
+    return joined.withColumn("text", F.coalesce(kept, "text")).select(*documents.columns)
