@@ -7,6 +7,8 @@ return the columns of documents.
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,7 +21,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Documents that the classifier scores 0.5 or more; it learns from the training labels only."""
     learn = docs.where(F.coalesce(crc_mod("doc_id", 3) != 1, F.lit(False)))
     weights = quality.train(learn, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.score(docs, weights).where("score >= 0.5").select(*docs.columns)
+    score = f"_{uuid.uuid4().hex}"  # no column of docs has this name
+    return quality.score(docs, weights, score).where(F.col(score) >= 0.5).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
