@@ -30,6 +30,8 @@ ID_BITS = 16
 _BLOCK_SCHEMA = "reset boolean, doc_id array<bigint>, length array<bigint>, flat binary, words array<array<smallint>>"
 _MASK_SLOTS = (1 << 18) - 1
 _MASK_BUCKETS = (1 << 16) - 1
+#: The rank of pieces that don't merge.
+NONE = 1 << ID_BITS
 
 
 @lru_cache(maxsize=4)
@@ -102,35 +104,37 @@ def merge_words(words: Column, path: str) -> Column:
 def merge_column(word: Column, first: Column, slots: Column, moved: Column, m: int) -> Column:
     """Token ids of one pre-token given as an array of its unsigned bytes."""
 
+    # A piece is packed as rank << 40 | start << 16 | id: the rank of merging it with the next piece (NONE if they
+    # don't merge), its first byte and its id; the least value is the leftmost pair of lowest rank.
     def rank(a, b):
-        """The merged id, or a number over 2^16 if the pair doesn't merge."""
         key = F.shiftleft(a, ID_BITS).bitwiseOR(b)
         d = F.get(moved, F.shiftright(key * 1_103_515_245, 20).bitwiseAND(_MASK_BUCKETS))
         entry = F.get(slots, (F.shiftright(key * m, 22) + d).bitwiseAND(_MASK_SLOTS))
-        return entry.bitwiseXOR(F.shiftleft(key, ID_BITS))
+        return F.shiftleft(F.least(entry.bitwiseXOR(F.shiftleft(key, ID_BITS)), F.lit(NONE)), 40)
 
-    none = F.array().cast("array<bigint>")
+    def id_of(x):
+        return x.bitwiseAND((1 << ID_BITS) - 1)
 
-    def merged(s, low, i):
-        """Pieces i and i + 1 become one; the pair goes and its neighbours are ranked anew."""
-        p, r = s["p"], s["r"]
-        pieces = F.filter(F.transform(p, lambda x, k: F.when(k == i, low).otherwise(x)), lambda _, k: k != i + 1)
-        new = lambda k: F.when(k < i, rank(F.get(p, k), low)).otherwise(rank(low, F.get(p, k + 1)))
-        near = lambda x, k: F.when(F.abs(k - i) == 1, new(k)).otherwise(x)
-        return F.struct(pieces.alias("p"), F.filter(F.transform(r, near), lambda _, k: k != i).alias("r"))
+    def ranked(x, a, after):
+        """The packed piece of id `a` at the place of x, before the packed piece `after` (null at the end)."""
+        place = x.bitwiseAND(((1 << 24) - 1) << ID_BITS).bitwiseOR(a)
+        return F.coalesce(rank(a, id_of(after)), F.lit(NONE << 40)).bitwiseOR(place)
 
     def step(s, _):
-        def lowest(low):
-            at = F.transform(F.array(F.array_position(s["r"], low).cast("int") - 1), lambda i: merged(s, low, i))
-            return F.when(low < 1 << ID_BITS, F.get(at, F.lit(0))).otherwise(s)
+        def merged(t):
+            before, here, gone, low = t["before"], t["here"], t["gone"], t["low"]
+            new = lambda x, k: F.when(k == here, ranked(x, low, F.get(s, k + 2))).when(k == before, ranked(x, id_of(x), low)).otherwise(x)
+            return F.when(low < NONE, F.filter(F.transform(s, new), lambda _, k: k != gone)).otherwise(s)
 
-        return F.get(F.transform(F.array(F.array_min(s["r"])), lowest), F.lit(0))
+        at = F.array_position(s, F.array_min(s)).cast("int")
+        found = F.transform(F.array(at), lambda i: F.struct((i - 2).alias("before"), (i - 1).alias("here"), i.alias("gone"), F.shiftright(F.get(s, i - 1), 40).alias("low")))
+        return F.get(F.transform(found, merged), F.lit(0))
 
     def fold(p):
         n = F.size(p)
-        r = F.when(n > 1, F.zip_with(F.slice(p, 1, n - 1), F.slice(p, 2, n), rank)).otherwise(none)
+        start = F.transform(p, lambda x, k: ranked(F.shiftleft(k.cast("bigint"), ID_BITS), x, F.get(p, k + 1)))
         steps = F.when(n > 1, F.sequence(F.lit(1), n - 1)).otherwise(F.array().cast("array<int>"))
-        return F.aggregate(steps, F.struct(p.alias("p"), r.alias("r")), step, lambda s: s["p"])
+        return F.aggregate(steps, start, step, lambda s: F.transform(s, id_of))
 
     return F.get(F.transform(F.array(F.transform(word, lambda b: F.get(first, b.cast("int")))), fold), F.lit(0))
 
@@ -139,7 +143,7 @@ def _to_blocks(pattern: str):
     def run(batches):
         import pyarrow as pa
 
-        index = Indexer(Splitter(pattern), 400_000)
+        index = Indexer(Splitter(pattern))
         for part in blocks(batches):
             reset, new, flat, lengths = index.block(part.column("text").to_pylist())
             raw = [w.encode("utf-8", "surrogatepass") for w in new]
