@@ -25,6 +25,8 @@ LOCAL_PAIRS = 1 << 25
 BOUND = 46.0
 #: -ln of the multiplier that stands for 0 where every weight of a node is 1.
 LIMIT = 18.0
+#: Iterations without a tenth less of residual after which a fit ends.
+STALLED = 1000
 
 
 @dataclass
@@ -248,11 +250,13 @@ def minimise(p: Problem, evaluate: Callable[[np.ndarray], np.ndarray], tolerance
 
     f, g, expected = value(theta)
     history: list[tuple[np.ndarray, np.ndarray, float]] = []
-    count, best = 0, np.inf
+    count, best, least, since = 0, np.inf, np.inf, 0
     for count in range(1, iterations + 1):
         g = blocked(theta, g)
         best = float(np.abs(g / unit).max(initial=0))
-        if best <= tolerance:
+        if best < 0.9 * least:
+            least, since = best, count
+        if best <= tolerance or count - since > STALLED:
             break
         diagonal = 1 / np.maximum(np.maximum(np.abs(expected), np.abs(p.targets)), 1e-12)
         d, alphas = g.copy(), []

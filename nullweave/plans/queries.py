@@ -144,6 +144,11 @@ def pair_distance(spark, sf_dir):
     return _round(ST.with_coordinates(N.nation_od(spark, sf_dir), _grid5(spark)), 8, "distance").select("source", "target", "weight", "distance")
 
 
+@query(f"SELECT source, target, weight, CAST(COALESCE(SUM(weight) OVER (PARTITION BY source ORDER BY target ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before FROM {SEQ}")
+def running_mass(spark, sf_dir):
+    return ST.running_total(N.user_seq(spark, sf_dir))
+
+
 # --- projections, predicates, limits --------------------------------------
 
 
@@ -360,7 +365,7 @@ def _fitted(spark, edges, family, constraint, layers=1, coordinates=None, self_l
         Constraint.DEGREE: ["degree_out", "degree_in"],
     }[constraint]
     layers = _layers(own) if layers == 0 else layers
-    return fit_model(family=family, constraint=constraint, layers=layers, self_loops=self_loops, tolerance=1e-7, spark=spark, **{k: own[k] for k in names})
+    return fit_model(family=family, constraint=constraint, layers=layers, self_loops=self_loops, tolerance=1e-6, spark=spark, **{k: own[k] for k in names})
 
 
 def _recovery_query(name, net, network, family, constraint, layers, kind):
@@ -388,12 +393,12 @@ def _cost_query(name, family, layers):
         own = ST.constraints_of(edges)
         grid = N.grid(len(own["strength_out"]))
         layers_ = _layers(own) if layers == 0 else layers
-        base = fit_model(family=family, constraint=Constraint.STRENGTH, strength_out=own["strength_out"], strength_in=own["strength_in"], layers=layers_, self_loops=False, tolerance=1e-7, spark=spark)
+        base = fit_model(family=family, constraint=Constraint.STRENGTH, strength_out=own["strength_out"], strength_in=own["strength_in"], layers=layers_, self_loops=False, tolerance=1e-6, spark=spark)
         from dataclasses import replace
 
         placed = replace(base, coordinates=grid)
         cost = P.candidates(spark, placed).agg(F.sum(P.law(placed).expected() * P.euclidean())).first()[0]
-        fit = fit_model(family=family, constraint=Constraint.STRENGTH_COST, strength_out=own["strength_out"], strength_in=own["strength_in"], target_cost=0.9 * cost, coordinates=grid, layers=layers_, self_loops=False, tolerance=1e-7, spark=spark)
+        fit = fit_model(family=family, constraint=Constraint.STRENGTH_COST, strength_out=own["strength_out"], strength_in=own["strength_in"], target_cost=0.9 * cost, coordinates=grid, layers=layers_, self_loops=False, tolerance=1e-6, spark=spark)
         return _recovered(spark, fit, "strength")
 
     QUERIES[name], ORACLE[name] = run, _observed(ODQ, "strength")
@@ -499,7 +504,7 @@ def _partial_query(name, family, constraint, layers=1):
         known = SY.top_pairs(edges, 0.05)
         names = {Constraint.STRENGTH: [], Constraint.STRENGTH_EDGES: ["target_edges"], Constraint.STRENGTH_DEGREE: ["degree_out", "degree_in"]}[constraint]
         layers_ = _layers(own) if layers == 0 else layers
-        got = fit_model(family=family, constraint=constraint, known=known, layers=layers_, self_loops=False, tolerance=1e-7, **{k: own[k] for k in ["strength_out", "strength_in", *names]})
+        got = fit_model(family=family, constraint=constraint, known=known, layers=layers_, self_loops=False, tolerance=1e-6, **{k: own[k] for k in ["strength_out", "strength_in", *names]})
         sums = EV.partial_recovery(got, len(own["strength_out"]))
         return sums.select("node", (F.round("strength_out", 2) + 0.0).alias("expected_out"), (F.round("strength_in", 2) + 0.0).alias("expected_in"))
 
@@ -512,10 +517,31 @@ for _label, _family, _m in _FAMILIES:
     _partial_query(f"partial_{_label}_degree_recovery", _family, Constraint.STRENGTH_DEGREE, _m)
 
 
+def _partial_cost_query(name, family, layers):
+    def run(spark, sf_dir):
+        edges = N.nation_od_q(spark, sf_dir)
+        own = ST.constraints_of(edges)
+        grid = N.grid(len(own["strength_out"]))
+        layers_ = _layers(own) if layers == 0 else layers
+        options = {"known": SY.top_pairs(edges, 0.05), "layers": layers_, "self_loops": False, "tolerance": 1e-6, "strength_out": own["strength_out"], "strength_in": own["strength_in"]}
+        free = fit_model(family=family, constraint=Constraint.STRENGTH, **options)
+        nodes = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(grid)], "node long, cx double, cy double")
+        cost = ST.total_cost(free.rates.withColumnRenamed("rate", "weight"), nodes).first()[0]
+        got = fit_model(family=family, constraint=Constraint.STRENGTH_COST, target_cost=0.95 * cost, coordinates=grid, **options)
+        sums = EV.partial_recovery(got, len(own["strength_out"]))
+        return sums.select("node", (F.round("strength_out", 2) + 0.0).alias("expected_out"), (F.round("strength_in", 2) + 0.0).alias("expected_in"))
+
+    QUERIES[name], ORACLE[name] = run, _observed(ODQ, "strength")
+
+
+for _label, _family, _m in _FAMILIES:
+    _partial_cost_query(f"partial_{_label}_cost_recovery", _family, _m)
+
+
 @query(_observed(ODQ, "strength"))
 def cutoff_fit_recovery(spark, sf_dir):
     edges = N.nation_od_q(spark, sf_dir)
-    got = FIT.fit_from_cutoff(edges, 4, Constraint.STRENGTH, Family.ME, self_loops=False, tolerance=1e-7)
+    got = FIT.fit_from_cutoff(edges, 4, Constraint.STRENGTH, Family.ME, self_loops=False, tolerance=1e-6)
     sums = EV.partial_recovery(got, ST.node_count(edges))
     return sums.select("node", (F.round("strength_out", 2) + 0.0).alias("expected_out"), (F.round("strength_in", 2) + 0.0).alias("expected_in"))
 
