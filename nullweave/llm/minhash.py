@@ -192,7 +192,7 @@ def _filter_of(ids: DataFrame):
 def confirmed(pairs: DataFrame, documents: DataFrame, threshold=(75, 100)) -> DataFrame:
     """The (a, b) pairs whose full sets meet the threshold: down * intersection >= up * union."""
     up, down = threshold
-    needed = stored(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "needed")
+    needed = stored(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "needed")
     texts, among = plain(documents, doc_id="doc_id", text="text").where("doc_id is not null"), _filter_of(needed)
 
     def sets(batches):
