@@ -247,13 +247,16 @@ def components(edges: DataFrame, rounds: int = 30) -> DataFrame:
 def _compared(members: DataFrame, reps: DataFrame) -> DataFrame:
     """(a, b): close pairs of members of one key that are in different components.
 
-    `members` is (key, id, component).  A key's members are cut into chunks; each
-    pair of chunks is one run of a sorted partition, compared block by block."""
+    `members` is (key, id, component) and, for finer keys, `nth`: which of the keys
+    it is; a pair then leaves only the first key that it shares.  A key's members
+    are cut into chunks; each pair of chunks is one run of a sorted partition."""
+    fine = "nth" in members.columns
+    extra = ["nth", "sig"] if fine else []
     chunks = members.groupBy("key").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
     own = F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")
-    rows = members.join(chunks, "key").withColumn("own", own).join(reps.select("id", "n", "wide"), "id")
+    rows = members.join(chunks, "key").withColumn("own", own).join(reps.select("id", "n", "wide", *extra[1:]), "id")
     other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
-    rows = rows.withColumn("other", other).select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "id", "component", "n", "wide")
+    rows = rows.withColumn("other", other).select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "id", "component", "n", "wide", *extra)
     rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
     def pairs(x):
@@ -273,6 +276,10 @@ def _compared(members: DataFrame, reps: DataFrame) -> DataFrame:
             a, b, least = a[ok], b[ok], least[ok]
             if len(a):
                 near = ((x["wide"][a] == x["wide"][b]).mean(axis=1) >= CLOSE) | (least < BANDED)
+                if fine:
+                    a, b, near = a[near], b[near], slice(None)
+                    shared = (x["sig"][a][:, _FINE_BINS] == x["sig"][b][:, _FINE_BINS]).all(axis=2)
+                    near = shared.argmax(axis=1) == x["nth"][a]
                 out.append(np.stack([np.minimum(ids[a], ids[b])[near], np.maximum(ids[a], ids[b])[near]]))
             d += 1
         return np.concatenate(out, axis=1) if out else np.empty((2, 0), np.int64)
@@ -285,6 +292,9 @@ def _compared(members: DataFrame, reps: DataFrame) -> DataFrame:
             if not batch.num_rows:
                 continue
             new = {c: batch.column(c).to_numpy() for c in ("key", "i", "j", "side", "id", "component", "n")}
+            if fine:
+                new["nth"] = batch.column("nth").to_numpy()
+                new["sig"] = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint16).reshape(-1, BINS)
             new["wide"] = np.frombuffer(b"".join(batch.column("wide").to_pylist()), np.uint8).reshape(-1, WIDE)
             held = new if held is None else {c: np.concatenate([held[c], new[c]]) for c in new}
             starts = np.flatnonzero((held["key"][1:] != held["key"][:-1]) | (held["i"][1:] != held["i"][:-1]) | (held["j"][1:] != held["j"][:-1])) + 1
@@ -308,7 +318,7 @@ def _runs(x: dict, starts: np.ndarray) -> dict:
 
 def _open(members: DataFrame, placed: DataFrame) -> DataFrame:
     """(key, id, component, c) of the members of keys with several components."""
-    own = members.join(placed, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+    own = members.drop("c").join(placed, "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = own.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("c")).where("lo < hi").select("key", "c")
     return own.join(mixed, "key")
 
@@ -320,7 +330,7 @@ def _shared(keyed: DataFrame) -> DataFrame:
 
 
 def _fine(ids: DataFrame, reps: DataFrame) -> DataFrame:
-    """(key, id): the finer keys of the given ids."""
+    """(key, id, nth): the finer keys of the given ids."""
 
     def run(batches):
         import pyarrow as pa
@@ -329,9 +339,9 @@ def _fine(ids: DataFrame, reps: DataFrame) -> DataFrame:
             for k in range(0, batch.num_rows, 1000):
                 part = batch.slice(k, 1000)
                 sig = np.frombuffer(b"".join(part.column("sig").to_pylist()), np.uint16).reshape(-1, BINS)
-                yield pa.RecordBatch.from_pydict({"key": fine_keys(sig).view(np.int64).ravel(), "id": np.repeat(part.column("id").to_numpy(), FINE)})
+                yield pa.RecordBatch.from_pydict({"key": fine_keys(sig).view(np.int64).ravel(), "id": np.repeat(part.column("id").to_numpy(), FINE), "nth": np.tile(np.arange(FINE, dtype=np.int32), part.num_rows)})
 
-    return reps.join(ids, "id", "left_semi").select("id", "sig").mapInArrow(trimmed(run), "key bigint, id bigint")
+    return reps.join(ids, "id", "left_semi").select("id", "sig").mapInArrow(trimmed(run), "key bigint, id bigint, nth int")
 
 
 def _exact_keys(reps: DataFrame, threshold) -> DataFrame:
@@ -366,8 +376,8 @@ def _near_duplicates(documents: DataFrame, threshold) -> DataFrame:
 
     placed = components(links)
     unsettled = stored(_open(members, placed), "open-buckets")
-    finer = _shared(_fine(unsettled.where(F.col("c") > LARGE).select("id").distinct(), reps)).select("key", "id")
-    finer = _open(finer, placed).select("key", "id", "component")
+    finer = _shared(_fine(unsettled.where(F.col("c") > LARGE).select("id").distinct(), reps))
+    finer = _open(finer, placed).select("key", "id", "nth", "component")
     usual = unsettled.where(F.col("c") <= LARGE).select("key", "id", "component")
     rest = _compared(usual, reps).union(_compared(finer, reps)).distinct().join(star, ["a", "b"], "left_anti")
     found = components(links.union(confirmed(stored(rest, "rest"), documents, threshold)))
