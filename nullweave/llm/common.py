@@ -45,9 +45,28 @@ def new_table(spark: SparkSession, name: str) -> str:
     path = f"{shared_dir(spark)}/nullweave/{name}-{uuid.uuid4().hex}"
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    if _OPEN:
+        _OPEN[-1].append(hadoop)
     return path
 
 
+#: Tables of the `settled` results being made just now, innermost last.
+_OPEN: list[list] = []
+
+
+def settled(spark: SparkSession, name: str, make) -> DataFrame:
+    """The result of make() as a table; the tables that it took to make it go at once."""
+    path = new_table(spark, name)
+    _OPEN.append([])
+    try:
+        df = make()
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+    finally:
+        for table in _OPEN.pop():
+            table.getFileSystem(spark._jsc.hadoopConfiguration()).delete(table, True)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Cuts the lineage: writes `df` once to the shared folder and reads it back."""
     spark = df.sparkSession

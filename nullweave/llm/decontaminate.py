@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import plain, stored
+from .common import plain, settled, stored
 
 WINDOW = 8
 #: Rows of terms or windows up to which the test side is broadcast (some 100 bytes each).
@@ -105,6 +105,10 @@ def index_terms(windows: DataFrame) -> tuple[DataFrame, int]:
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame, n: int = WINDOW, least_items: int = 2) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items (sorted strings), contaminated of every document."""
+    return settled(documents.sparkSession, "decontamination", lambda: _decontaminate(documents, benchmark, n, least_items))
+
+
+def _decontaminate(documents: DataFrame, benchmark: DataFrame, n: int, least_items: int) -> DataFrame:
     windows, owners = test_windows(benchmark, n)
     terms, n_terms = index_terms(windows)
     index = stored(postings(documents, terms, n_terms), "postings")

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_words, blocks, hash_words, mix, multipliers, plain, small_batches, stored, trimmed, windows
+from .common import ascii_words, blocks, hash_words, mix, multipliers, plain, settled, small_batches, stored, trimmed, windows
 
 SHINGLE = 5
 BINS = 128
@@ -357,7 +357,7 @@ def _exact_keys(reps: DataFrame, threshold) -> DataFrame:
 def near_duplicates(documents: DataFrame, threshold=(75, 100)) -> DataFrame:
     """doc_id, n_shingles, component_id, kept, class_id (smallest doc_id with an equal set)."""
     with small_batches(documents.sparkSession):
-        return _near_duplicates(documents, threshold)
+        return settled(documents.sparkSession, "near-duplicates", lambda: _near_duplicates(documents, threshold))
 
 
 def _near_duplicates(documents: DataFrame, threshold) -> DataFrame:
