@@ -3,8 +3,10 @@
 Method: fixed-block anchors.  Each document's non-overlapping 7-word blocks are
 indexed; every rolling 7-word window probes the index.  Any 13 repeated words
 hold an aligned block of their first document, so no repeat is missed.  Windows
-of 13 words around anchors that meet in two documents are then compared exactly,
-and neighbouring repeated windows grow into maximal repeated spans.
+of 13 words around anchors that meet in two documents are then compared by
+128-bit hashes over two independent hashes of each word, and neighbouring
+repeated windows grow into maximal repeated spans.  Anchors travel as 39 bits of
+their hash: a false meeting there only adds windows to compare.
 
 A word is removed if a window of `window` words that covers it also starts in a
 document with a smaller doc_id; windows are judged on the input.
@@ -26,14 +28,19 @@ import itertools
 import uuid
 
 import numpy as np
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_words, blocks, hash_words, mix, partitions, plain, stored, trimmed, windows
+from .common import Cache, ascii_words, blocks, hash_words, mix, partitions, plain, stored, trimmed, windows
 
 WINDOW = 13
-#: Bytes of a packed hash; its lowest bit says that the window is an indexed one.
+#: Bytes of a packed anchor hash; its lowest bit says that the window is an indexed one.
 PACKED = 5
+#: Bytes of a packed window hash, by which repeats are decided; all of these are indexed.
+WHOLE = 16
+#: Seed of the multipliers of a window's second 64 bits.
+SECOND = 1007
 _PACKED_SCHEMA = "part int, docs binary, texts binary, counts binary, hashes binary"
 _MET = "bucket int, part int, docs binary, texts binary, counts binary, ordinals binary"
 _ANSWER = "doc_id bigint, text_hash int, met struct<parts: binary, counts: binary, ordinals: binary>"
@@ -59,13 +66,18 @@ def _parts(h: np.ndarray, parts: int) -> np.ndarray:
     return ((h >> np.uint64(40)) * np.uint64(parts) >> np.uint64(24)).astype(np.int64)
 
 
-def _pack(docs, texts, rows, h, indexed, parts):
-    """Rows of `_PACKED_SCHEMA` from windows in (document, position) order; `rows` says whose window each is."""
+def _pack(docs, texts, rows, h, parts, indexed=None, more=None):
+    """Rows of `_PACKED_SCHEMA` from windows in (document, position) order; `rows` says whose window each is.
+
+    Either anchors (`indexed` says which are blocks), or whole windows with `more`, their second 64 bits."""
     import pyarrow as pa
 
     part = _parts(h, parts)
     order = np.argsort(part, kind="stable")
-    value = (h[order] << np.uint64(1) | indexed[order].astype(np.uint64)).view(np.uint8).reshape(-1, 8)[:, :PACKED]
+    if more is None:
+        value = (h[order] << np.uint64(1) | indexed[order].astype(np.uint64)).view(np.uint8).reshape(-1, 8)[:, :PACKED]
+    else:
+        value = np.stack([h[order], more[order]], axis=1).view(np.uint8)
     part, rows = part[order], rows[order]
     edges = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(part)]]) if len(part) else np.zeros(1, int)
     out = {k: [] for k in ("part", "docs", "texts", "counts", "hashes")}
@@ -80,11 +92,17 @@ def _pack(docs, texts, rows, h, indexed, parts):
     return pa.RecordBatch.from_arrays([pa.array(out["part"], pa.int32()), *(pa.array(out[k], pa.binary()) for k in ("docs", "texts", "counts", "hashes"))], list(out))
 
 
-def _unpack(pdf):
-    """(doc, text hash, doc's run, hash, indexed) of all packed windows of a partition."""
+def _unpack(pdf, whole: bool):
+    """(docs, text hashes, windows of each, hash, indexed) of all packed windows of a partition; for whole ones the rank of the 128-bit hash."""
     docs = np.concatenate([np.frombuffer(x, np.int64) for x in pdf.docs])
     texts = np.concatenate([np.frombuffer(x, np.int32) for x in pdf.texts])
     counts = np.concatenate([np.frombuffer(x, np.int32) for x in pdf.counts])
+    if whole:
+        raw = np.frombuffer(b"".join(pdf.hashes), np.uint64).reshape(-1, WHOLE // 8)
+        order = np.lexsort((raw[:, 1], raw[:, 0]))
+        rank = np.zeros(len(raw), np.uint64)
+        rank[order[1:]] = np.cumsum((raw[order[1:]] != raw[order[:-1]]).any(axis=1))
+        return docs, texts, counts, rank, np.ones(len(raw), bool)
     raw = np.frombuffer(b"".join(pdf.hashes), np.uint8).reshape(-1, PACKED)
     value = np.zeros((len(raw), 8), np.uint8)
     value[:, :PACKED] = raw
@@ -94,12 +112,12 @@ def _unpack(pdf):
 
 def _meet(both: bool, buckets: int):
     """A function for a hash partition: which windows lie in an indexed block of a smaller document
-    (and, if `both`, which blocks are probed by a larger one), packed by buckets of documents."""
+    (and, for anchors (`both`), which blocks are probed by a larger one), packed by buckets of documents."""
 
     def run(key, pdf):
         import pandas as pd
 
-        docs, texts, counts, h, indexed = _unpack(pdf)
+        docs, texts, counts, h, indexed = _unpack(pdf, not both)
         run_of = np.repeat(np.arange(len(docs), dtype=np.int32), counts)
         doc = docs[run_of]
         order = np.lexsort((doc[indexed], h[indexed]))
@@ -188,7 +206,7 @@ def anchors(documents: DataFrame, window: int, parts: int) -> DataFrame:
             at = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
             w = windows(h, k)
             good = ((at <= n[rows] - k) & (n[rows] >= window))[: len(w)]
-            yield _pack(ids, texts, rows[: len(w)][good], w[good], at[: len(w)][good] % k == 0, parts)
+            yield _pack(ids, texts, rows[: len(w)][good], w[good], parts, indexed=at[: len(w)][good] % k == 0)
             cache.trim()
 
     return documents.mapInArrow(trimmed(run), _PACKED_SCHEMA)
@@ -218,16 +236,20 @@ def _candidates(rows: DataFrame, window: int, parts: int) -> DataFrame:
 
 
 def _exact(rows: DataFrame, window: int, parts: int) -> DataFrame:
-    """The candidate windows, all of them indexed, packed by hash partition."""
+    """The candidate windows, all of them indexed, packed whole by hash partition."""
 
     def run(batches):
-        cache = hash_words()
+        cache, second = hash_words(), Cache(xxhash.xxh3_64_intdigest)
         for part in blocks(batches):
-            own = [windows(_hashes(ascii_words(t, False), cache), window)[np.frombuffer(s, np.int32)] for t, s in zip(part.column("text").to_pylist(), part.column("starts").to_pylist())]
+            own, more = [], []
+            for text, starts in zip(part.column("text").to_pylist(), part.column("starts").to_pylist()):
+                words, starts = ascii_words(text, False), np.frombuffer(starts, np.int32)
+                own.append(windows(_hashes(words, cache), window)[starts])
+                more.append(windows(_hashes(words, second), window, SECOND)[starts])
             n = np.fromiter(map(len, own), np.int64, len(own))
-            h = np.concatenate(own)
-            yield _pack(part.column("doc_id").to_numpy(), part.column("text_hash").to_numpy(), np.repeat(np.arange(len(n), dtype=np.int32), n), h, np.ones(len(h), bool), parts)
-            cache.trim()
+            rows = np.repeat(np.arange(len(n), dtype=np.int32), n)
+            yield _pack(part.column("doc_id").to_numpy(), part.column("text_hash").to_numpy(), rows, np.concatenate(own), parts, more=np.concatenate(more))
+            cache.trim(), second.trim()
 
     return rows.mapInArrow(trimmed(run), _PACKED_SCHEMA)
 

@@ -213,6 +213,14 @@ def test_substrings(docs, nothing):
     assert [(s.start, s.end) for s in spans] == [(40, 80)]
 
 
+def test_substrings_of_colliding_windows(spark):
+    """Windows of the same first 7 words whose hashes agree in the low 39 bits and in the partition (of 4)."""
+    ends = [([807, 758, 337, 101, 309, 130], [902, 929, 748, 261, 322, 252]), ([49, 525, 609, 167, 996, 480], [917, 50, 535, 610, 348, 896])]
+    rows = [" ".join(f"w{k}" for k in [*range(7), *end]) for pair in ends for end in pair]
+    df = spark.createDataFrame([*enumerate(rows), (9, rows[3])], "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in substring.digests(df).collect()} == {0: 0, 1: 0, 2: 0, 3: 0, 9: 13}
+
+
 def test_decontamination(docs, nothing, spark):
     items = [(1, " ".join(BASE.split()[30:45])), (2, "ONE, two; three!"), (3, None), (4, ""), (5, " ".join(BASE.split()[33:43])), (5, " ".join(BASE.split()[33:43])), (6, "never seen words here at all in any text")]
     bench = spark.createDataFrame(items, "item_id long, text string").withColumn("term", F.lit("clash"))
