@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Cache, ascii_words, blocks, hash_words, mix, partitions, plain, stored, trimmed, windows
+from .common import Cache, ascii_words, blocks, hash_words, mix, partitions, plain, shuffles_freed, stored, trimmed, windows
 
 WINDOW = 13
 #: Bytes of a packed anchor hash; its lowest bit says that the window is an indexed one.
@@ -260,7 +260,8 @@ def removals(documents: DataFrame, window: int = WINDOW) -> DataFrame:
     parts, buckets = partitions(spark), max(8, partitions(spark) // 4)
     rows = keyed(documents).where("doc_id is not null and text is not null")
     met = _answers(anchors(rows, window, parts), True, buckets)
-    held = stored(_candidates(rows.join(met, ["doc_id", "text_hash"]), window, parts), "anchored")
+    with shuffles_freed(spark):  # the anchors' files make room for the whole windows
+        held = stored(_candidates(rows.join(met, ["doc_id", "text_hash"]), window, parts), "anchored")
     repeats = _answers(_exact(held, window, parts), False, buckets)
 
     def run(batches):
