@@ -11,7 +11,8 @@ of ids before the block in its shard, `doc_ids` and `lengths`
 are those of the block's documents (a document is never split), `bits` is the
 width, `payload` is the ids, most significant bit first, padded to a byte.
 
-Defined cases: a null or empty text has the end id alone; a null doc_id sorts
+Defined cases: added tokens of the tokenizer's file are recognised in texts, as
+the library does by default; a null or empty text has the end id alone; a null doc_id sorts
 first; rows with the same doc_id are each stored, in order of their length; an
 empty table gives an empty folder and no rows; other columns are ignored.
 """
@@ -20,6 +21,7 @@ from __future__ import annotations
 
 import bisect
 import itertools
+import re
 import zlib
 from functools import lru_cache
 
@@ -64,9 +66,7 @@ def tokenizer(path: str):
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(path)
 
 
 class Encoder:
@@ -75,9 +75,20 @@ class Encoder:
     def __init__(self, path: str, pattern: str):
         self.tokenizer, self.index = tokenizer(path), Indexer(Splitter(pattern), 800_000)
         self.at, self.ids = np.zeros(1, np.int64), np.empty(0, np.uint32)
+        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(added)) if added else None
 
     def block(self, texts) -> list[np.ndarray]:
-        """The ids of each text."""
+        """The ids of each text; one that holds an added token of the file is encoded whole, as the pattern would split that."""
+        whole = [k for k, t in enumerate(texts) if t and self.added and self.added.search(t)]
+        if not whole:
+            return self.split(texts)
+        got = self.tokenizer.encode_batch_fast([texts[k] for k in whole], add_special_tokens=False)
+        own = dict(zip(whole, (np.array(e.ids, np.uint32) for e in got)))
+        return [own.get(k, x) for k, x in enumerate(self.split([None if k in own else t for k, t in enumerate(texts)]))]
+
+    def split(self, texts) -> list[np.ndarray]:
+        """The ids of texts without added tokens, pre-token by pre-token."""
         reset, new, flat, lengths = self.index.block(texts)
         if reset:
             self.at, self.ids = np.zeros(1, np.int64), np.empty(0, np.uint32)

@@ -103,6 +103,21 @@ def test_token_ids(docs, nothing, spark, tmp_path):
     assert token_ids.digests(nothing, TOKENIZER, P.PATTERN).count() == 0
 
 
+def test_token_ids_of_added_tokens(spark):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(TOKENIZER)
+    texts = ["a <|endoftext|> b", "no such token <|endoftex|>", "<|endoftext|><|endoftext|>", None, "x<|endoftext|>  y's"]
+    assert t.encode(texts[0], add_special_tokens=False).ids == [64, 220, 50256, 275]
+    got = token_ids.digests(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), TOKENIZER, P.PATTERN).collect()
+    start, want = 0, []
+    for i, text in enumerate(texts):
+        ids = np.array(t.encode(text or "", add_special_tokens=False).ids + [0], "<u4")
+        want.append((i, start, len(ids), zlib.crc32(ids.tobytes())))
+        start += len(ids)
+    assert sorted(map(tuple, got)) == want
+
+
 @pytest.mark.parametrize("bits", [1, 5, 13, 16, 17, 20])
 def test_packing(bits):
     ids = np.random.default_rng(0).integers(0, 1 << bits, 1001).astype(np.uint32)
