@@ -7,9 +7,11 @@ density on its path to the body is the page's threshold, and every node at or
 above it adds the largest-sum subtree below it.  The text of the taken subtrees
 is the page's main text, in page order.
 
-Elements that never hold article text (menus, footers, forms, scripts ...) and
-elements whose class, id or role names an advert, a notice, a sidebar or reader
-comments are left out before densities are computed.
+Elements that never hold article text (menus, footers, scripts ...) are left out
+before densities are computed; so are forms and elements whose class, id or role
+names an advert, a notice, a sidebar or reader comments, but where nothing else
+on the page is an <article> or <main>, not those that hold one or that hold most
+of the text (`prune`): such a name is often that of a layout, not of its content.
 
 Defined cases: a null or empty page, or one without text, gives the empty
 string; unclosed, crossed or unknown tags are repaired as far as nesting needs
@@ -31,7 +33,7 @@ from .common import blocks, plain
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var".split())
 RAW = frozenset("script style textarea title noscript iframe xmp template noembed noframes svg math".split())
-LEFT_OUT = frozenset("head nav footer aside form script style textarea title noscript iframe template button select option input label dialog menu svg math object canvas audio video noembed noframes".split())
+LEFT_OUT = frozenset("head nav footer aside script style textarea title noscript iframe template button select option input label dialog menu svg math object canvas audio video noembed noframes".split())
 CLOSES_P = frozenset("address article aside blockquote center details dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section summary table ul".split())
 CLOSED_BY_SAME = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
 SECTION = frozenset("article main".split())
@@ -47,16 +49,18 @@ _SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("chars", "children", "density", "link_chars", "link_tags", "parts", "tag", "tags", "total")
+    __slots__ = ("chars", "children", "density", "link_chars", "link_tags", "noise", "parts", "tag", "tags", "total")
 
     def __init__(self, tag: str):
         self.tag, self.parts, self.children = tag, [], []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
+        self.noise = False
 
 
 def _noise(tag: str, attributes: str) -> bool:
-    if tag in LEFT_OUT:
+    """Whether an element's name or attributes say that it isn't the article."""
+    if tag == "form":
         return True
     if tag in SECTION or tag in ("html", "body") or not attributes:
         return False
@@ -105,10 +109,11 @@ def parse(page: str) -> Node:
                 left_out = 0
         node = Node(tag)
         if not left_out:
-            if _noise(tag, m[3]):
+            if tag in LEFT_OUT:
                 left_out = len(stack)
                 stack[-1].parts.append(" ")
             else:
+                node.noise = _noise(tag, m[3])
                 stack[-1].parts.append(node)
                 stack[-1].children.append(node)
         if tag in VOID or (m[3].endswith("/") and tag not in RAW and tag not in CLOSES_P and tag not in INLINE):
@@ -123,6 +128,44 @@ def parse(page: str) -> Node:
     return root
 
 
+def prune(root: Node) -> None:
+    """Takes out the elements marked as noise, but for those that seem to hold the page's article.
+
+    Under a node with an <article> or <main> outside all noise, all noise goes.  Elsewhere what holds one stays, and what
+    holds more than half of the text; the same is then done inside of it."""
+    order, todo = [], [root]
+    while todo:
+        node = todo.pop()
+        order.append(node)
+        todo += node.children
+    if not any(n.noise for n in order):
+        return
+    text, section = {}, {}  # characters below a node; whether it is or holds an article with text
+    for n in reversed(order):
+        text[id(n)] = sum(len(p.strip()) for p in n.parts if isinstance(p, str)) + sum(text[id(c)] for c in n.children)
+        section[id(n)] = bool(text[id(n)]) and (n.tag in SECTION or any(section[id(c)] for c in n.children))
+    tops, gone = [root], {}
+    while tops:
+        top = tops.pop()
+        found, clean, todo = [], False, [top]
+        while todo:
+            node = todo.pop()
+            clean = clean or (node.tag in SECTION and section[id(node)])
+            for c in node.children:
+                if c.noise:
+                    found.append((node, c))
+                else:
+                    todo.append(c)
+        for parent, node in found:
+            if not clean and (section[id(node)] or 2 * text[id(node)] > text[id(top)]):
+                tops.append(node)
+            else:
+                gone.setdefault(id(parent), (parent, set()))[1].add(id(node))
+    for parent, ids in gone.values():
+        parent.parts = [" " if id(p) in ids else p for p in parent.parts]
+        parent.children = [c for c in parent.children if id(c) not in ids]
+
+
 def measure(root: Node) -> list[Node]:
     """Fills in characters, tags, composite densities and density sums; the nodes, children first."""
     order, todo = [], [root]
@@ -175,6 +218,7 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     root = parse(page)
+    prune(root)
     keep = taken(root)
     out: list[str] = []
     todo: list = [(root, False)]

@@ -308,6 +308,19 @@ def test_html(spark):
     assert html.extract(df.where("false")).count() == 0
 
 
+def test_html_of_layout_names():
+    """A noise word in the name of what holds the article doesn't take the article away."""
+    story = "<p>" + "The council met on Monday and talked at length about the new bridge. " * 4 + "</p>"
+    want = " ".join(story[3:-4].split())
+    for name in ("content has-sidebar", "no-sidebar", "page with-nav", "post related-posts-on", "search-results", "modal-open"):
+        assert html.main_text(f'<body><div class="{name}"><article>{story}</article></div><div class="ad">Buy now</div></body>') == want
+        assert html.main_text(f'<body><div class="{name}"><div>{story}<div class="comments"><p>Nice.</p></div></div></div></body>') == want
+    assert html.main_text(f"<body><form action=x><main>{story}</main><input></form></body>") == want
+    comments = '<div class="comments">' + "<article><p>I have a long opinion on all of this, as ever.</p></article>" * 20 + "</div>"
+    assert html.main_text(f"<body><article>{story}</article>{comments}</body>") == want
+    assert html.main_text(f'<body><div class="no-sidebar"><article>{story}</article>{comments}</div></body>') == want
+
+
 def test_quality(spark, docs, nothing):
     good = [(i, prose(i, 80), 1) for i in range(60)]
     bad = [(100 + i, " | ".join(prose(i, 60).split()), 0) for i in range(60)]
