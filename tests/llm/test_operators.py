@@ -197,6 +197,27 @@ def test_near_duplicates_of_many(spark):
     assert {x.doc_id: (x.n_shingles, x.component_id) for x in minhash.near_duplicates(df).collect()} == want
 
 
+def test_near_duplicates_in_a_large_open_bucket(spark):
+    """3 against 4 shingles (0.75), all 3 of them in 70 other texts: the pair's only common bucket is large and open."""
+    pair, common = [f"q81x{k}" for k in range(8)], [f"c{k}" for k in range(24)]
+    rows = [" ".join(pair[:7]), " ".join(pair)]
+    rows += [" ".join([*pair[:7], *common, f"end{k}"]) for k in range(70)] + [" ".join([*common, f"tail{k}"]) for k in range(10)]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    want = near(list(enumerate(rows)))
+    assert want[1] == (4, 0)
+    assert {x.doc_id: (x.n_shingles, x.component_id) for x in minhash.near_duplicates(df).collect()} == want
+
+
+def test_rare_keys_lose_no_pair(spark):
+    """Sets at 0.75 share a rare key, however common the rest of them is."""
+    passage = prose(77, 40).split()
+    rows = [(2 * k + e, " ".join([*passage, *prose(k, 60, 10_000).split(), *[f"z{k}y{j}" for j in range(20 * e)]])) for k in range(40) for e in (0, 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    rare = {r.id: set(np.frombuffer(r.rare, np.int64)) for r in minhash._rare(df.selectExpr("doc_id as id"), df, (75, 100)).collect()}
+    assert len(rare) == 80 and all(rare[2 * k] & rare[2 * k + 1] for k in range(40))
+    assert sum(bool(rare[i] & rare[j]) for i in rare for j in rare if i // 2 < j // 2) == 0
+
+
 def cut(texts):
     first, words = {}, {i: SPACED.findall(t or "") for i, t in texts}
     for i in sorted(words):
