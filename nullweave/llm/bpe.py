@@ -5,7 +5,10 @@ higher-order `aggregate` folds the ranked merges, looking pairs up in a literal
 rank map (two literal arrays, a displacement hash without collisions).  The ids
 of each distinct pre-token are then gathered for every document of the block.
 Decoding concatenates the binary pieces of the ids.  No shuffle takes place:
-merges run once per distinct pre-token of a task, whatever its document counts.
+merges run once per distinct pre-token of a task, whatever its document counts;
+tasks take some 64 MB of files, as larger ones share more pre-tokens.
+Pre-tokens of over `LONG` bytes are merged in passes, one for each merge that
+they use, so that time doesn't grow with the square of their length.
 
 Defined cases: a null or empty text has no ids (n_tokens 0, hashes of the empty
 string); every input row gives one output row, repeated rows included; a null
@@ -22,7 +25,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, plain, trimmed
+from .common import blocks, larger_tasks, plain, trimmed
 from .pretokens import Indexer, Splitter
 
 #: Bits of a token id in the packed entries of the rank map.
@@ -32,6 +35,8 @@ _MASK_SLOTS = (1 << 18) - 1
 _MASK_BUCKETS = (1 << 16) - 1
 #: The rank of pieces that don't merge.
 NONE = 1 << ID_BITS
+#: Bytes above which a pre-token is merged pass by pass.
+LONG = 256
 
 
 @lru_cache(maxsize=4)
@@ -95,40 +100,63 @@ def rank_tables(path: str) -> tuple[Column, int]:
     return F.struct(literal_array(first).alias("first"), literal_array(slots).alias("slots"), literal_array(moved).alias("moved")), m
 
 
+def glyphs(path: str) -> Column:
+    """A literal array of one character for each id (id + 1 as its code point)."""
+    last = max(load_ranks(path).values())
+    if last + 1 >= 0xD800:
+        raise ValueError("the ids don't fit into the characters below the surrogates")
+    return F.split(F.lit("".join(chr(i + 1) for i in range(last + 1))), "")
+
+
 def merge_words(words: Column, path: str) -> Column:
     """Token ids of each pre-token of an array, given as arrays of unsigned bytes; the rank map is bound once."""
     tables, m = rank_tables(path)
-    return F.get(F.transform(F.array(tables), lambda t: F.transform(words, lambda w: merge_column(w, t["first"], t["slots"], t["moved"], m))), F.lit(0))
+    tables = F.struct(tables["first"].alias("first"), tables["slots"].alias("slots"), tables["moved"].alias("moved"), glyphs(path).alias("glyphs"))
+    return F.get(F.transform(F.array(tables), lambda t: F.transform(words, lambda w: merge_column(w, t, m))), F.lit(0))
 
 
-def merge_column(word: Column, first: Column, slots: Column, moved: Column, m: int) -> Column:
+def merge_column(word: Column, tables: Column, m: int) -> Column:
     """Token ids of one pre-token given as an array of its unsigned bytes."""
+    first, slots, moved = tables["first"], tables["slots"], tables["moved"]
 
-    # A piece is packed as rank << 40 | start << 16 | id: the rank of merging it with the next piece (NONE if they
-    # don't merge), its first byte and its id; the least value is the leftmost pair of lowest rank.
     def rank(a, b):
+        """The id that two ids merge to, NONE if they don't."""
         key = F.shiftleft(a, ID_BITS).bitwiseOR(b)
         d = F.get(moved, F.shiftright(key * 1_103_515_245, 20).bitwiseAND(_MASK_BUCKETS))
         entry = F.get(slots, (F.shiftright(key * m, 22) + d).bitwiseAND(_MASK_SLOTS))
-        return F.shiftleft(F.least(entry.bitwiseXOR(F.shiftleft(key, ID_BITS)), F.lit(NONE)), 40)
+        return F.least(entry.bitwiseXOR(F.shiftleft(key, ID_BITS)), F.lit(NONE))
+
+    ids = F.transform(word, lambda b: F.get(first, b.cast("int")))
+    return F.when(F.size(word) <= LONG, _one_by_one(ids, rank)).otherwise(_pass_by_pass(ids, rank, tables["glyphs"]))
 
+
+def _one_by_one(ids: Column, rank) -> Column:
+    """Merges the leftmost pair of lowest rank, one in a step; a step without one leaves at once."""
+
+    # A piece is packed as rank << 40 | start << 16 | id: the rank of merging it with the next piece (NONE if they
+    # don't merge), its first byte and its id; the least value is the leftmost pair of lowest rank, and no two are equal.
     def id_of(x):
         return x.bitwiseAND((1 << ID_BITS) - 1)
 
     def ranked(x, a, after):
         """The packed piece of id `a` at the place of x, before the packed piece `after` (null at the end)."""
         place = x.bitwiseAND(((1 << 24) - 1) << ID_BITS).bitwiseOR(a)
-        return F.coalesce(rank(a, id_of(after)), F.lit(NONE << 40)).bitwiseOR(place)
+        return F.coalesce(F.shiftleft(rank(a, id_of(after)), 40), F.lit(NONE << 40)).bitwiseOR(place)
 
     def step(s, _):
         def merged(t):
-            before, here, gone, low = t["before"], t["here"], t["gone"], t["low"]
-            new = lambda x, k: F.when(k == here, ranked(x, low, F.get(s, k + 2))).when(k == before, ranked(x, id_of(x), low)).otherwise(x)
-            return F.when(low < NONE, F.filter(F.transform(s, new), lambda _, k: k != gone)).otherwise(s)
+            low, before, rank_of, gone = t["low"], t["before"], t["id"], t["gone"]
+            new = lambda x: F.when(x == low, ranked(x, rank_of, t["after"])).when(x == before, ranked(x, id_of(x), rank_of)).otherwise(x)
+            return F.array_remove(F.transform(s, new), gone)
+
+        def active(low):
+            at = F.array_position(s, low).cast("int")
+            around = F.transform(
+                F.array(at), lambda i: F.struct(low.alias("low"), F.get(s, i - 2).alias("before"), F.shiftright(low, 40).alias("id"), F.get(s, i).alias("gone"), F.get(s, i + 1).alias("after"))
+            )
+            return F.get(F.transform(around, merged), F.lit(0))
 
-        at = F.array_position(s, F.array_min(s)).cast("int")
-        found = F.transform(F.array(at), lambda i: F.struct((i - 2).alias("before"), (i - 1).alias("here"), i.alias("gone"), F.shiftright(F.get(s, i - 1), 40).alias("low")))
-        return F.get(F.transform(found, merged), F.lit(0))
+        return F.get(F.transform(F.array(F.array_min(s)), lambda low: F.when(low >= NONE << 40, s).otherwise(active(low))), F.lit(0))
 
     def fold(p):
         n = F.size(p)
@@ -136,7 +164,33 @@ def merge_column(word: Column, first: Column, slots: Column, moved: Column, m: i
         steps = F.when(n > 1, F.sequence(F.lit(1), n - 1)).otherwise(F.array().cast("array<int>"))
         return F.aggregate(steps, start, step, lambda s: F.transform(s, id_of))
 
-    return F.get(F.transform(F.array(F.transform(word, lambda b: F.get(first, b.cast("int")))), fold), F.lit(0))
+    return F.get(F.transform(F.array(ids), fold), F.lit(0))
+
+
+def _pass_by_pass(ids: Column, rank, glyphs: Column) -> Column:
+    """Merges all pairs of the lowest rank in one pass, leftmost first; ends when no pair is left.
+
+    A pass takes time in proportion to the pre-token, and there is one for each merge of the vocabulary that it uses, so
+    long pre-tokens don't take the square of their length.  (A merge makes pairs of higher rank only, so this is the same order.)"""
+
+    def ids_of(s):
+        return F.transform(F.split(s, ""), lambda c: (F.ascii(c) - 1).cast("bigint"))
+
+    def step(state, _):
+        def lowest(p):
+            """rank << 32 | id << 16 | id of the pair of lowest rank."""
+            return F.array_min(F.transform(p, lambda x, k: F.coalesce(F.shiftleft(rank(x, F.get(p, k + 1)), 32).bitwiseOR(F.shiftleft(x, 16)).bitwiseOR(F.get(p, k + 1)), F.lit(NONE << 32))))
+
+        def merged(low):
+            glyph = lambda bits: F.get(glyphs, F.shiftright(low, bits).bitwiseAND((1 << ID_BITS) - 1).cast("int"))
+            text = F.replace(state["text"], F.concat(glyph(16), glyph(0)), glyph(32))
+            return F.struct((low < NONE << 32).alias("more"), F.when(low < NONE << 32, text).otherwise(state["text"]).alias("text"))
+
+        found = F.transform(F.array(ids_of(state["text"])), lowest)
+        return F.when(state["more"], F.get(F.transform(found, merged), F.lit(0))).otherwise(state)
+
+    start = F.struct(F.lit(True).alias("more"), F.array_join(F.transform(ids, lambda i: F.get(glyphs, i.cast("int"))), "").alias("text"))
+    return F.aggregate(F.sequence(F.lit(1), F.size(ids)), start, step, lambda s: ids_of(s["text"]))
 
 
 def _to_blocks(pattern: str):
@@ -167,12 +221,18 @@ def _to_blocks(pattern: str):
 
 def encoded_blocks(documents: DataFrame, path: str, pattern: str) -> DataFrame:
     """Blocks of documents with the ids of their new distinct pre-tokens (column `ids`), in task order."""
-    out = plain(documents, doc_id="doc_id", text="text").mapInArrow(trimmed(_to_blocks(pattern)), _BLOCK_SCHEMA)
+    out = plain(larger_tasks(documents), doc_id="doc_id", text="text").mapInArrow(trimmed(_to_blocks(pattern)), _BLOCK_SCHEMA)
     return out.select("reset", "doc_id", "length", "flat", merge_words(F.col("words"), path).alias("ids"))
 
 
+def decoded_blocks(documents: DataFrame, path: str, pattern: str) -> DataFrame:
+    """The same, and the bytes that the ids of each pre-token decode to (column `decoded`)."""
+    pieces = F.array(piece_table(path))
+    return encoded_blocks(documents, path, pattern).withColumn("decoded", F.get(F.transform(pieces, lambda t: F.transform("ids", lambda x: decode_by(x, t))), F.lit(0)))
+
+
 def _gathered(make):
-    """A mapInArrow function: make() gives (word, row): word(ids) -> what is kept of a pre-token; row(doc_id, kept words) -> a row."""
+    """A mapInArrow function: make() gives (word, row, schema): word(ids, decoded bytes) -> what is kept of a pre-token; row(doc_id, kept words) -> a row."""
 
     def run(batches):
         import pyarrow as pa
@@ -185,8 +245,9 @@ def _gathered(make):
                     table = []
                 lists = batch.column("ids")[k].values
                 flat_ids = lists.flatten().to_pylist()
-                at = lists.offsets.to_numpy() - lists.offsets[0].as_py()
-                table += [word(flat_ids[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
+                at = (lists.offsets.to_numpy() - lists.offsets[0].as_py()).tolist()
+                decoded = batch.column("decoded")[k].as_py() if "decoded" in batch.schema.names else [None] * len(lists)
+                table += [word(flat_ids[a:b], x) for a, b, x in zip(at, at[1:], decoded)]
                 lengths = batch.column("length")[k].values.to_numpy()
                 flat = np.frombuffer(batch.column("flat")[k].as_py(), np.int32)
                 rows, a = [], 0
@@ -205,7 +266,7 @@ def encode(documents: DataFrame, path: str, pattern: str) -> DataFrame:
         import pyarrow as pa
 
         return (
-            tuple,
+            lambda ids, _: tuple(ids),
             lambda doc, words: {"doc_id": doc, "ids": [i for w in words for i in w]},
             pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))]),
         )
@@ -219,10 +280,8 @@ def encode_checked(documents: DataFrame, path: str, pattern: str) -> DataFrame:
     def make():
         import pyarrow as pa
 
-        pieces = {rank: piece for piece, rank in load_ranks(path).items()}
-
-        def word(ids):
-            return ids, b"".join([pieces[i] for i in ids])
+        def word(ids, decoded):
+            return ids, decoded
 
         def row(doc, words):
             ids = [i for w in words for i in w[0]]
@@ -230,17 +289,25 @@ def encode_checked(documents: DataFrame, path: str, pattern: str) -> DataFrame:
 
         return word, row, pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded_sha256", pa.string())])
 
-    return encoded_blocks(documents, path, pattern).mapInArrow(trimmed(_gathered(make)), "doc_id bigint, n_tokens bigint, ids array<int>, decoded_sha256 string")
+    return decoded_blocks(documents, path, pattern).mapInArrow(trimmed(_gathered(make)), "doc_id bigint, n_tokens bigint, ids array<int>, decoded_sha256 string")
 
 
-def decode(ids: Column, path: str) -> Column:
-    """The bytes of an array of ids: its pieces, concatenated (null stays null)."""
+def piece_table(path: str) -> Column:
+    """A literal array of the bytes of each id, in hexadecimal."""
     ranks = load_ranks(path)
     pieces = [""] * (max(ranks.values()) + 1)
     for piece, rank in ranks.items():
         pieces[rank] = piece.hex()
-    table = F.split(F.lit(",".join(pieces)), ",")
-    return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(table, i)), ""))
+    return F.split(F.lit(",".join(pieces)), ",")
+
+
+def decode_by(ids: Column, pieces: Column) -> Column:
+    return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(pieces, i.cast("int"))), ""))
+
+
+def decode(ids: Column, path: str) -> Column:
+    """The bytes of an array of ids: its pieces, concatenated (null stays null)."""
+    return decode_by(ids, piece_table(path))
 
 
 def round_trip(documents: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -249,10 +316,8 @@ def round_trip(documents: DataFrame, path: str, pattern: str) -> DataFrame:
     def make():
         import pyarrow as pa
 
-        pieces = {rank: piece for piece, rank in load_ranks(path).items()}
-
-        def word(ids):
-            return len(ids), " ".join(map(str, ids)), b"".join([pieces[i] for i in ids])
+        def word(ids, decoded):
+            return len(ids), " ".join(map(str, ids)), decoded
 
         def row(doc, words):
             return {
@@ -264,4 +329,4 @@ def round_trip(documents: DataFrame, path: str, pattern: str) -> DataFrame:
 
         return word, row, pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
-    return encoded_blocks(documents, path, pattern).mapInArrow(trimmed(_gathered(make)), "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return decoded_blocks(documents, path, pattern).mapInArrow(trimmed(_gathered(make)), "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
