@@ -113,7 +113,7 @@ def larger_tasks(df: DataFrame, size: int = 64 << 20) -> DataFrame:
 
     For work that a task shares among its rows, where scans are cut smaller than usual.  More partitions are never made."""
     spark = df.sparkSession
-    total = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    total = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.coalesce(min(max(2 * spark.sparkContext.defaultParallelism, -(-total // size)), 1 << 30))
 
 
