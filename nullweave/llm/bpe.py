@@ -2,11 +2,11 @@
 
 Method: a block's distinct pre-tokens travel to the JVM as byte arrays; there a
 higher-order `aggregate` folds the ranked merges, looking pairs up in a literal
-rank map (two literal arrays, a displacement hash without collisions).  The ids
+rank map (literal arrays: the rows of a sparse table of pairs, laid over each
+other).  The ids
 of each distinct pre-token are then gathered for every document of the block.
 Decoding concatenates the binary pieces of the ids.  No shuffle takes place:
-merges run once per distinct pre-token of a task, whatever its document counts;
-tasks take some 64 MB of files, as larger ones share more pre-tokens.
+merges run once per distinct pre-token of a task, whatever its document counts.
 Pre-tokens of over `LONG` bytes are merged in passes, one for each merge that
 they use, so that time doesn't grow with the square of their length.
 
@@ -19,22 +19,23 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import itertools
 from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, larger_tasks, plain, trimmed
+from .common import blocks, plain, trimmed
 from .pretokens import Indexer, Splitter
 
 #: Bits of a token id in the packed entries of the rank map.
 ID_BITS = 16
 _BLOCK_SCHEMA = "reset boolean, doc_id array<bigint>, length array<bigint>, flat binary, words array<array<smallint>>"
-_MASK_SLOTS = (1 << 18) - 1
-_MASK_BUCKETS = (1 << 16) - 1
 #: The rank of pieces that don't merge.
 NONE = 1 << ID_BITS
+#: Slots of the rank map that stay empty at its start, so that no row's place is below 0.
+SPARE = 1 << ID_BITS
 #: Bytes above which a pre-token is merged pass by pass.
 LONG = 256
 
@@ -45,48 +46,51 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
 
 
+def _free_place(full: np.ndarray, row: np.ndarray, step: int = 4096) -> int:
+    """The first slot from `SPARE` on at which a row of offsets (0 among them) meets no full slot."""
+    start = SPARE
+    while start + step + int(row.max()) < len(full):
+        at = start + np.flatnonzero(~full[start : start + step])
+        for x in row:
+            at = at[~full[at + x]]
+        if len(at):
+            return int(at[0])
+        start += step
+    raise ValueError("too many merges for the rank map")
+
+
 @lru_cache(maxsize=4)
-def rank_map(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """(ids of the 256 bytes, slots, displacements, multiplier) of the pairs that merge.
+def rank_map(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(slots, places, starts) of the pairs that merge.
 
-    A pair of ids (a, b) merges to the id whose bytes are those of a and b.  Its
-    key a * 2^16 + b sits in slot (key * M >> 22) + displacement of its bucket,
-    as key * 2^16 + merged id.
-    """
+    A pair of ids (a, b) merges to the id whose bytes are those of a and b.  It sits in slot places[a] + b, as
+    a * 2^16 + merged id: rows of a sparse table, laid over each other so that no two pairs meet.  starts[256 * x + y]
+    is the packed piece of byte x before byte y, starts[2^16 + x] that of x at the end."""
     ranks = load_ranks(path)
     if max(ranks.values()) >= 1 << ID_BITS:
         raise ValueError("the rank map holds ids of 16 bits at most")
-    pairs = {}
+    rows: dict[int, list] = {}
     for piece, merged in ranks.items():
         for cut in range(1, len(piece)):
             a, b = ranks.get(piece[:cut]), ranks.get(piece[cut:])
             if a is not None and b is not None:
-                pairs[a << ID_BITS | b] = merged
-    keys = np.fromiter(pairs, np.int64, len(pairs))
-    merged = np.fromiter(pairs.values(), np.int64, len(pairs))
-    first = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
-    if len(keys) > _MASK_SLOTS * 0.8:
-        raise ValueError("too many merges for the rank map")
-    for m in range(1_640_531_527, 1_640_532_527, 2):
-        bucket = keys * 1_103_515_245 >> 20 & _MASK_BUCKETS
-        base = keys * m >> 22 & _MASK_SLOTS
-        order = np.argsort(bucket, kind="stable")
-        groups = np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1)
-        if any(len(g) > 1 and len(set(base[g].tolist())) < len(g) for g in groups):
-            continue
-        slots, moved, full = np.zeros(_MASK_SLOTS + 1, np.int64), np.zeros(_MASK_BUCKETS + 1, np.int64), np.zeros(_MASK_SLOTS + 1, bool)
-        for g in sorted(groups, key=len, reverse=True):
-            at = base[g]
-            d = 0
-            while full[at + d & _MASK_SLOTS].any():
-                d += 1
-                if d > _MASK_SLOTS:
-                    raise ValueError("no place for a bucket of the rank map")
-            at = at + d & _MASK_SLOTS
-            full[at], moved[bucket[g[0]]] = True, d
-            slots[at] = keys[g] << ID_BITS | merged[g]
-        return first, slots, moved, m
-    raise ValueError("no multiplier found for the rank map")
+                rows.setdefault(a, []).append((b, merged))
+    width = max(ranks.values()) + 1
+    slots, places = np.full(1 << 21, NONE << ID_BITS, np.int64), np.zeros(width, np.int64)
+    full = np.zeros(len(slots), bool)
+    for a, own in sorted(rows.items(), key=lambda r: (-len(r[1]), r[0])):
+        b, merged = np.array(own, np.int64).T
+        places[a] = at = _free_place(full, b - b.min()) - b.min()
+        full[at + b] = True
+        slots[at + b] = a << ID_BITS | merged
+    last = int(np.flatnonzero(full).max()) + 1 if full.any() else 1
+    starts = np.empty((1 << 16) + 256, np.int64)
+    for x in range(256):
+        i = ranks[bytes([x])]
+        starts[(1 << 16) + x] = NONE << 40 | i
+        for y in range(256):
+            starts[x << 8 | y] = ranks.get(bytes([x, y]), NONE) << 40 | i
+    return slots[:last], places, starts
 
 
 def literal_array(values) -> Column:
@@ -94,10 +98,10 @@ def literal_array(values) -> Column:
     return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
 
 
-def rank_tables(path: str) -> tuple[Column, int]:
-    """The rank map as one struct literal (folded by the optimizer), and its multiplier."""
-    first, slots, moved, m = rank_map(path)
-    return F.struct(literal_array(first).alias("first"), literal_array(slots).alias("slots"), literal_array(moved).alias("moved")), m
+def rank_tables(path: str) -> Column:
+    """The rank map as one struct literal (folded by the optimizer), with a character for each id."""
+    slots, places, starts = rank_map(path)
+    return F.struct(literal_array(slots).alias("slots"), literal_array(places).alias("places"), literal_array(starts).alias("starts"), glyphs(path).alias("glyphs"))
 
 
 def glyphs(path: str) -> Column:
@@ -110,64 +114,52 @@ def glyphs(path: str) -> Column:
 
 def merge_words(words: Column, path: str) -> Column:
     """Token ids of each pre-token of an array, given as arrays of unsigned bytes; the rank map is bound once."""
-    tables, m = rank_tables(path)
-    tables = F.struct(tables["first"].alias("first"), tables["slots"].alias("slots"), tables["moved"].alias("moved"), glyphs(path).alias("glyphs"))
-    return F.get(F.transform(F.array(tables), lambda t: F.transform(words, lambda w: merge_column(w, t, m))), F.lit(0))
+    return F.get(F.transform(F.array(rank_tables(path)), lambda t: F.transform(words, lambda w: merge_column(w, t))), F.lit(0))
 
 
-def merge_column(word: Column, tables: Column, m: int) -> Column:
+def merge_column(word: Column, tables: Column) -> Column:
     """Token ids of one pre-token given as an array of its unsigned bytes."""
-    first, slots, moved = tables["first"], tables["slots"], tables["moved"]
 
     def rank(a, b):
-        """The id that two ids merge to, NONE if they don't."""
-        key = F.shiftleft(a, ID_BITS).bitwiseOR(b)
-        d = F.get(moved, F.shiftright(key * 1_103_515_245, 20).bitwiseAND(_MASK_BUCKETS))
-        entry = F.get(slots, (F.shiftright(key * m, 22) + d).bitwiseAND(_MASK_SLOTS))
-        return F.least(entry.bitwiseXOR(F.shiftleft(key, ID_BITS)), F.lit(NONE))
+        """The id that two ids merge to; NONE if they don't, or if there is no second one (null)."""
+        entry = F.get(tables["slots"], (F.get(tables["places"], a.cast("int")) + b).cast("int"))
+        return F.least(entry.bitwiseXOR(F.shiftleft(a, ID_BITS)), F.lit(NONE))
 
-    ids = F.transform(word, lambda b: F.get(first, b.cast("int")))
-    return F.when(F.size(word) <= LONG, _one_by_one(ids, rank)).otherwise(_pass_by_pass(ids, rank, tables["glyphs"]))
+    # A piece is packed as rank << 40 | start << 16 | id: the rank of merging it with the next piece (NONE if they
+    # don't merge), its first byte and its id; the least value is the leftmost pair of lowest rank, and no two are equal.
+    first = lambda x, k: F.get(tables["starts"], F.coalesce(F.shiftleft(x, 8).bitwiseOR(F.get(word, k + 1)), x + (1 << 16)).cast("int"))
+    pieces = F.transform(word, lambda x, k: first(x.cast("int"), k).bitwiseOR(F.shiftleft(k.cast("bigint"), ID_BITS)))
+    return F.when(F.size(word) <= LONG, _one_by_one(pieces, rank)).otherwise(_pass_by_pass(pieces, rank, tables["glyphs"]))
 
 
-def _one_by_one(ids: Column, rank) -> Column:
+def _one_by_one(pieces: Column, rank) -> Column:
     """Merges the leftmost pair of lowest rank, one in a step; a step without one leaves at once."""
 
-    # A piece is packed as rank << 40 | start << 16 | id: the rank of merging it with the next piece (NONE if they
-    # don't merge), its first byte and its id; the least value is the leftmost pair of lowest rank, and no two are equal.
     def id_of(x):
         return x.bitwiseAND((1 << ID_BITS) - 1)
 
     def ranked(x, a, after):
         """The packed piece of id `a` at the place of x, before the packed piece `after` (null at the end)."""
         place = x.bitwiseAND(((1 << 24) - 1) << ID_BITS).bitwiseOR(a)
-        return F.coalesce(F.shiftleft(rank(a, id_of(after)), 40), F.lit(NONE << 40)).bitwiseOR(place)
+        return F.shiftleft(rank(a, id_of(after)), 40).bitwiseOR(place)
 
     def step(s, _):
-        def merged(t):
-            low, before, rank_of, gone = t["low"], t["before"], t["id"], t["gone"]
-            new = lambda x: F.when(x == low, ranked(x, rank_of, t["after"])).when(x == before, ranked(x, id_of(x), rank_of)).otherwise(x)
-            return F.array_remove(F.transform(s, new), gone)
-
-        def active(low):
-            at = F.array_position(s, low).cast("int")
-            around = F.transform(
-                F.array(at), lambda i: F.struct(low.alias("low"), F.get(s, i - 2).alias("before"), F.shiftright(low, 40).alias("id"), F.get(s, i).alias("gone"), F.get(s, i + 1).alias("after"))
-            )
-            return F.get(F.transform(around, merged), F.lit(0))
+        # positions are compared, not looked up: array_position leaves its loop by an exception, which costs more than all else
+        def merged(low):
+            def new(x, k):
+                joined = F.shiftright(low, 40)
+                here, before, gone = x == low, F.get(s, k + 1) == low, F.get(s, k - 1) == low
+                return F.when(here, ranked(x, joined, F.get(s, k + 2))).when(gone, F.lit(-1).cast("bigint")).when(before, ranked(x, id_of(x), joined)).otherwise(x)
 
-        return F.get(F.transform(F.array(F.array_min(s)), lambda low: F.when(low >= NONE << 40, s).otherwise(active(low))), F.lit(0))
+            return F.when(low >= NONE << 40, s).otherwise(F.array_remove(F.transform(s, new), F.lit(-1).cast("bigint")))
 
-    def fold(p):
-        n = F.size(p)
-        start = F.transform(p, lambda x, k: ranked(F.shiftleft(k.cast("bigint"), ID_BITS), x, F.get(p, k + 1)))
-        steps = F.when(n > 1, F.sequence(F.lit(1), n - 1)).otherwise(F.array().cast("array<int>"))
-        return F.aggregate(steps, start, step, lambda s: F.transform(s, id_of))
+        return F.get(F.transform(F.array(F.array_min(s)), merged), F.lit(0))
 
-    return F.get(F.transform(F.array(ids), fold), F.lit(0))
+    steps = lambda p: F.when(F.size(p) > 1, F.sequence(F.lit(1), F.size(p) - 1)).otherwise(F.array().cast("array<int>"))
+    return F.get(F.transform(F.array(pieces), lambda p: F.aggregate(steps(p), p, step, lambda s: F.transform(s, id_of))), F.lit(0))
 
 
-def _pass_by_pass(ids: Column, rank, glyphs: Column) -> Column:
+def _pass_by_pass(pieces: Column, rank, glyphs: Column) -> Column:
     """Merges all pairs of the lowest rank in one pass, leftmost first; ends when no pair is left.
 
     A pass takes time in proportion to the pre-token, and there is one for each merge of the vocabulary that it uses, so
@@ -189,8 +181,8 @@ def _pass_by_pass(ids: Column, rank, glyphs: Column) -> Column:
         found = F.transform(F.array(ids_of(state["text"])), lowest)
         return F.when(state["more"], F.get(F.transform(found, merged), F.lit(0))).otherwise(state)
 
-    start = F.struct(F.lit(True).alias("more"), F.array_join(F.transform(ids, lambda i: F.get(glyphs, i.cast("int"))), "").alias("text"))
-    return F.aggregate(F.sequence(F.lit(1), F.size(ids)), start, step, lambda s: ids_of(s["text"]))
+    start = F.struct(F.lit(True).alias("more"), F.array_join(F.transform(pieces, lambda x: F.get(glyphs, x.bitwiseAND((1 << ID_BITS) - 1).cast("int"))), "").alias("text"))
+    return F.aggregate(F.sequence(F.lit(1), F.size(pieces)), start, step, lambda s: ids_of(s["text"]))
 
 
 def _to_blocks(pattern: str):
@@ -221,7 +213,7 @@ def _to_blocks(pattern: str):
 
 def encoded_blocks(documents: DataFrame, path: str, pattern: str) -> DataFrame:
     """Blocks of documents with the ids of their new distinct pre-tokens (column `ids`), in task order."""
-    out = plain(larger_tasks(documents), doc_id="doc_id", text="text").mapInArrow(trimmed(_to_blocks(pattern)), _BLOCK_SCHEMA)
+    out = plain(documents, doc_id="doc_id", text="text").mapInArrow(trimmed(_to_blocks(pattern)), _BLOCK_SCHEMA)
     return out.select("reset", "doc_id", "length", "flat", merge_words(F.col("words"), path).alias("ids"))
 
 
@@ -232,44 +224,63 @@ def decoded_blocks(documents: DataFrame, path: str, pattern: str) -> DataFrame:
 
 
 def _gathered(make):
-    """A mapInArrow function: make() gives (word, row, schema): word(ids, decoded bytes) -> what is kept of a pre-token; row(doc_id, kept words) -> a row."""
+    """A mapInArrow function: make() gives (kept, row, schema).
+
+    `kept` are functions of (a block's ids, where each pre-token's start, their decoded bytes) to lists by pre-token;
+    row(doc_id, number of ids, the document's entries of each list) makes a row."""
 
     def run(batches):
         import pyarrow as pa
 
-        word, row, schema = make()
-        table: list = []
+        kept, row, schema = make()
+        tables, counts = [[] for _ in kept], np.empty(0, np.int64)
         for batch in batches:
             for k in range(batch.num_rows):
                 if batch.column("reset")[k].as_py():
-                    table = []
+                    tables, counts = [[] for _ in kept], np.empty(0, np.int64)
                 lists = batch.column("ids")[k].values
-                flat_ids = lists.flatten().to_pylist()
-                at = (lists.offsets.to_numpy() - lists.offsets[0].as_py()).tolist()
-                decoded = batch.column("decoded")[k].as_py() if "decoded" in batch.schema.names else [None] * len(lists)
-                table += [word(flat_ids[a:b], x) for a, b, x in zip(at, at[1:], decoded)]
+                at = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+                ids, decoded = lists.flatten().to_numpy(zero_copy_only=False).tolist(), []
+                if "decoded" in batch.schema.names:
+                    own = batch.column("decoded")[k].values
+                    ends = np.frombuffer(own.buffers()[1], np.int32)[own.offset : own.offset + len(own) + 1].tolist() if len(own) else [0]
+                    raw = own.buffers()[2].to_pybytes() if len(own) and own.buffers()[2] else b""
+                    decoded = [raw[x:y] for x, y in itertools.pairwise(ends)]
+                counts = np.concatenate([counts, np.diff(at)])
+                for table, f in zip(tables, kept):
+                    table += f(ids, at.tolist(), decoded)
                 lengths = batch.column("length")[k].values.to_numpy()
                 flat = np.frombuffer(batch.column("flat")[k].as_py(), np.int32)
-                rows, a = [], 0
-                for doc, n in zip(batch.column("doc_id")[k].as_py(), lengths.tolist()):
-                    rows.append(row(doc, [table[i] for i in flat[a : a + n].tolist()]))
-                    a += n
+                sums = np.concatenate([[0], np.cumsum(counts[flat])])
+                cuts = np.concatenate([[0], np.cumsum(lengths)])
+                totals, cuts, flat = (sums[cuts[1:]] - sums[cuts[:-1]]).tolist(), cuts.tolist(), flat.tolist()
+                rows = []
+                for doc, n, a, b in zip(batch.column("doc_id")[k].as_py(), totals, cuts, cuts[1:]):
+                    own = flat[a:b]
+                    rows.append(row(doc, n, *(map(t.__getitem__, own) for t in tables)))
                 yield pa.RecordBatch.from_pylist(rows, schema)
 
     return run
 
 
+def _ids(ids, at, _):
+    return [ids[a:b] for a, b in itertools.pairwise(at)]
+
+
+def _decoded(ids, at, decoded):
+    return decoded
+
+
 def encode(documents: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, ids array<int> of every whole text."""
 
     def make():
         import pyarrow as pa
 
-        return (
-            lambda ids, _: tuple(ids),
-            lambda doc, words: {"doc_id": doc, "ids": [i for w in words for i in w]},
-            pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))]),
-        )
+        def row(doc, n, ids):
+            return {"doc_id": doc, "ids": list(itertools.chain.from_iterable(ids))}
+
+        return [_ids], row, pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
 
     return encoded_blocks(documents, path, pattern).mapInArrow(trimmed(_gathered(make)), "doc_id bigint, ids array<int>")
 
@@ -280,18 +291,34 @@ def encode_checked(documents: DataFrame, path: str, pattern: str) -> DataFrame:
     def make():
         import pyarrow as pa
 
-        def word(ids, decoded):
-            return ids, decoded
-
-        def row(doc, words):
-            ids = [i for w in words for i in w[0]]
-            return {"doc_id": doc, "n_tokens": len(ids), "ids": ids, "decoded_sha256": hashlib.sha256(b"".join([w[1] for w in words])).hexdigest()}
+        def row(doc, n, ids, decoded):
+            return {"doc_id": doc, "n_tokens": n, "ids": list(itertools.chain.from_iterable(ids)), "decoded_sha256": hashlib.sha256(b"".join(decoded)).hexdigest()}
 
-        return word, row, pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded_sha256", pa.string())])
+        return [_ids, _decoded], row, pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded_sha256", pa.string())])
 
     return decoded_blocks(documents, path, pattern).mapInArrow(trimmed(_gathered(make)), "doc_id bigint, n_tokens bigint, ids array<int>, decoded_sha256 string")
 
 
+def round_trip(documents: DataFrame, path: str, pattern: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 (decimal ids joined by a space), decoded_sha256 (bytes of the decoded ids)."""
+
+    def make():
+        import pyarrow as pa
+
+        decimal = list(map(str, range(1 << ID_BITS)))
+
+        def written(ids, at, _):
+            own = [decimal[i] for i in ids]
+            return [" ".join(own[a:b]) for a, b in itertools.pairwise(at)]
+
+        def row(doc, n, ids, decoded):
+            return {"doc_id": doc, "n_tokens": n, "ids_sha256": hashlib.sha256(" ".join(ids).encode()).hexdigest(), "decoded_sha256": hashlib.sha256(b"".join(decoded)).hexdigest()}
+
+        return [written, _decoded], row, pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
+
+    return decoded_blocks(documents, path, pattern).mapInArrow(trimmed(_gathered(make)), "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+
+
 def piece_table(path: str) -> Column:
     """A literal array of the bytes of each id, in hexadecimal."""
     ranks = load_ranks(path)
@@ -308,25 +335,3 @@ def decode_by(ids: Column, pieces: Column) -> Column:
 def decode(ids: Column, path: str) -> Column:
     """The bytes of an array of ids: its pieces, concatenated (null stays null)."""
     return decode_by(ids, piece_table(path))
-
-
-def round_trip(documents: DataFrame, path: str, pattern: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 (decimal ids joined by a space), decoded_sha256 (bytes of the decoded ids)."""
-
-    def make():
-        import pyarrow as pa
-
-        def word(ids, decoded):
-            return len(ids), " ".join(map(str, ids)), decoded
-
-        def row(doc, words):
-            return {
-                "doc_id": doc,
-                "n_tokens": sum([w[0] for w in words]),
-                "ids_sha256": hashlib.sha256(" ".join([w[1] for w in words]).encode()).hexdigest(),
-                "decoded_sha256": hashlib.sha256(b"".join([w[2] for w in words])).hexdigest(),
-            }
-
-        return word, row, pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
-
-    return decoded_blocks(documents, path, pattern).mapInArrow(trimmed(_gathered(make)), "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")

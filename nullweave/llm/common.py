@@ -108,15 +108,6 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def larger_tasks(df: DataFrame, size: int = 64 << 20) -> DataFrame:
-    """Puts scan partitions together so that a task has some `size` bytes of files, as long as there are two tasks for each core.
-
-    For work that a task shares among its rows, where scans are cut smaller than usual.  More partitions are never made."""
-    spark = df.sparkSession
-    total = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.coalesce(min(max(2 * spark.sparkContext.defaultParallelism, -(-total // size)), 1 << 30))
-
-
 def blocks(batches, text: str = "text", chars: int = BLOCK_CHARS):
     """Slices Arrow batches so that each slice holds about `chars` bytes of text at most (or one row)."""
     import pyarrow.compute as pc
