@@ -6,7 +6,8 @@ hold an aligned block of their first document, so no repeat is missed.  Windows
 of 13 words around anchors that meet in two documents are then compared by
 128-bit hashes over two independent hashes of each word, and neighbouring
 repeated windows grow into maximal repeated spans.  Anchors travel as 39 bits of
-their hash: a false meeting there only adds windows to compare.
+their hash: a false meeting there only adds windows to compare.  Texts are read
+anew where they are needed; of a step's files only its answers stay.
 
 A word is removed if a window of `window` words that covers it also starts in a
 document with a smaller doc_id; windows are judged on the input.
@@ -212,39 +213,28 @@ def anchors(documents: DataFrame, window: int, parts: int) -> DataFrame:
     return documents.mapInArrow(trimmed(run), _PACKED_SCHEMA)
 
 
-def _candidates(rows: DataFrame, window: int, parts: int) -> DataFrame:
-    """Adds `starts`: where windows begin that hold an anchor that met."""
+def _starts(h: np.ndarray, window: int, parts: int, met) -> np.ndarray:
+    """Where windows begin that hold an anchor that met, in a text of these word hashes."""
     k = block_words(window)
-
-    def run(batches):
-        import pyarrow as pa
-
-        cache = hash_words()
-        for part in blocks(batches):
-            out = []
-            for text, met in zip(part.column("text").to_pylist(), part.column("met").to_pylist()):
-                h = _hashes(ascii_words(text, False), cache)
-                mark = np.zeros(len(h) + 1, np.int64)
-                p = _positions(windows(h, k), parts, met)
-                np.add.at(mark, np.maximum(p - (window - k), 0), 1)
-                np.add.at(mark, p + 1, -1)
-                out.append(np.flatnonzero(np.cumsum(mark)[: len(h) - window + 1]).astype(np.int32).tobytes())
-            cache.trim()
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", "text_hash", "text")), pa.array(out, pa.binary())], ["doc_id", "text_hash", "text", "starts"])
-
-    return rows.mapInArrow(trimmed(run), "doc_id bigint, text_hash int, text string, starts binary")
+    mark = np.zeros(len(h) + 1, np.int64)
+    p = _positions(windows(h, k), parts, met)
+    np.add.at(mark, np.maximum(p - (window - k), 0), 1)
+    np.add.at(mark, p + 1, -1)
+    return np.flatnonzero(np.cumsum(mark)[: len(h) - window + 1])
 
 
 def _exact(rows: DataFrame, window: int, parts: int) -> DataFrame:
-    """The candidate windows, all of them indexed, packed whole by hash partition."""
+    """The windows around anchors that met, all of them indexed, packed whole by hash partition."""
 
     def run(batches):
         cache, second = hash_words(), Cache(xxhash.xxh3_64_intdigest)
         for part in blocks(batches):
             own, more = [], []
-            for text, starts in zip(part.column("text").to_pylist(), part.column("starts").to_pylist()):
-                words, starts = ascii_words(text, False), np.frombuffer(starts, np.int32)
-                own.append(windows(_hashes(words, cache), window)[starts])
+            for text, met in zip(part.column("text").to_pylist(), part.column("met").to_pylist()):
+                words = ascii_words(text, False)
+                h = _hashes(words, cache)
+                starts = _starts(h, window, parts, met)
+                own.append(windows(h, window)[starts])
                 more.append(windows(_hashes(words, second), window, SECOND)[starts])
             n = np.fromiter(map(len, own), np.int64, len(own))
             rows = np.repeat(np.arange(len(n), dtype=np.int32), n)
@@ -254,15 +244,38 @@ def _exact(rows: DataFrame, window: int, parts: int) -> DataFrame:
     return rows.mapInArrow(trimmed(run), _PACKED_SCHEMA)
 
 
-def removals(documents: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, text_hash, n_words, n_removed, spans (maximal repeated word ranges), kept_text of the documents that lose words."""
+def repeats(documents: DataFrame, window: int = WINDOW) -> DataFrame:
+    """doc_id, text_hash, met, again: of documents with repeated windows, which anchors met and which of the windows around them repeat.
+
+    Texts move once for this, and once more where the answers are applied; they are not stored."""
     spark = documents.sparkSession
     parts, buckets = partitions(spark), max(8, partitions(spark) // 4)
     rows = keyed(documents).where("doc_id is not null and text is not null")
-    met = _answers(anchors(rows, window, parts), True, buckets)
-    with shuffles_freed(spark):  # the anchors' files make room for the whole windows
-        held = stored(_candidates(rows.join(met, ["doc_id", "text_hash"]), window, parts), "anchored")
-    repeats = _answers(_exact(held, window, parts), False, buckets)
+    with shuffles_freed(spark):  # each step's files make room for the next one's
+        met = stored(_answers(anchors(rows, window, parts), True, buckets), "anchors-met")
+        again = stored(_answers(_exact(rows.join(met, ["doc_id", "text_hash"]), window, parts), False, buckets), "windows-met")
+    return met.join(again.withColumnRenamed("met", "again"), ["doc_id", "text_hash"])
+
+
+def _removed(words: list, met, again, window: int, parts: int, cache) -> np.ndarray:
+    """Which words of a text are covered by repeated windows."""
+    mark = np.zeros(len(words) + 1, np.int64)
+    if met is not None:
+        h = _hashes(words, cache)
+        starts = _starts(h, window, parts, met)
+        p = starts[_positions(windows(h, window)[starts], parts, again)]
+        np.add.at(mark, p, 1)
+        np.add.at(mark, p + window, -1)
+    return np.cumsum(mark)[:-1] > 0
+
+
+def _kept(words: list, gone: np.ndarray) -> bytes:
+    return b" ".join(itertools.compress(words, (~gone).tolist()))
+
+
+def removals(documents: DataFrame, window: int = WINDOW) -> DataFrame:
+    """doc_id, text_hash, n_words, n_removed, spans (maximal repeated word ranges), kept_text of the documents that lose words."""
+    parts = partitions(documents.sparkSession)
 
     def run(batches):
         import pyarrow as pa
@@ -270,63 +283,65 @@ def removals(documents: DataFrame, window: int = WINDOW) -> DataFrame:
         cache = hash_words()
         for part in blocks(batches):
             out = []
-            columns = (part.column(c).to_pylist() for c in ("doc_id", "text_hash", "text", "starts", "met"))
-            for doc, text_hash, text, starts, met in zip(*columns):
+            for doc, text_hash, text, met, again in zip(*(part.column(c).to_pylist() for c in ("doc_id", "text_hash", "text", "met", "again"))):
                 words = ascii_words(text, False)
-                starts = np.frombuffer(starts, np.int32)
-                p = starts[_positions(windows(_hashes(words, cache), window)[starts], parts, met)]
-                mark = np.zeros(len(words) + 1, np.int64)
-                np.add.at(mark, p, 1)
-                np.add.at(mark, p + window, -1)
-                gone = np.cumsum(mark)[:-1] > 0
+                gone = _removed(words, met, again, window, parts, cache)
                 edge = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]]))).reshape(-1, 2)
-                out.append(
-                    {
-                        "doc_id": doc,
-                        "text_hash": text_hash,
-                        "n_words": len(words),
-                        "n_removed": int(gone.sum()),
-                        "spans": [{"start": int(a), "end": int(b)} for a, b in edge],
-                        "kept_text": b" ".join(itertools.compress(words, (~gone).tolist())).decode("utf-8", "surrogatepass"),
-                    }
-                )
+                spans = [{"start": int(a), "end": int(b)} for a, b in edge]
+                out.append({"doc_id": doc, "text_hash": text_hash, "n_words": len(words), "n_removed": int(gone.sum()), "spans": spans, "kept_text": _kept(words, gone).decode("utf-8", "surrogatepass")})
             cache.trim()
             span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
             yield pa.RecordBatch.from_pylist(out, pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int32()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("spans", span), ("kept_text", pa.string())]))
 
     schema = "doc_id bigint, text_hash int, n_words bigint, n_removed bigint, spans array<struct<start: bigint, end: bigint>>, kept_text string"
-    return held.join(repeats, ["doc_id", "text_hash"]).mapInArrow(trimmed(run), schema).dropDuplicates(["doc_id", "text_hash"])
+    return keyed(documents).join(repeats(documents, window), ["doc_id", "text_hash"]).mapInArrow(trimmed(run), schema).dropDuplicates(["doc_id", "text_hash"])
 
 
-def words_of(documents: DataFrame) -> DataFrame:
-    """doc_id, text_hash, n_words, kept_sha256 of every document as if it kept all its words."""
+def digests(documents: DataFrame, window: int = WINDOW) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256 of every document."""
+    parts = partitions(documents.sparkSession)
 
     def run(batches):
         import hashlib
 
         import pyarrow as pa
 
+        cache = hash_words()
         for part in blocks(batches):
-            words = [ascii_words(t, False) for t in part.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), part.column("text_hash"), pa.array([len(w) for w in words], pa.int64()), pa.array([hashlib.sha256(b" ".join(w)).hexdigest() for w in words])],
-                ["doc_id", "text_hash", "n_words", "kept_sha256"],
-            )
-
-    return keyed(documents).mapInArrow(trimmed(run), "doc_id bigint, text_hash int, n_words bigint, kept_sha256 string")
-
+            n, removed, digest = [], [], []
+            for text, met, again in zip(*(part.column(c).to_pylist() for c in ("text", "met", "again"))):
+                words = ascii_words(text, False)
+                gone = _removed(words, met, again, window, parts, cache) if met is not None else None
+                n.append(len(words)), removed.append(0 if gone is None else int(gone.sum()))
+                digest.append(hashlib.sha256(b" ".join(words) if gone is None else _kept(words, gone)).hexdigest())
+            cache.trim()
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(digest, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-def digests(documents: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 of every document."""
-    lost = removals(documents, window).select("doc_id", "text_hash", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("new"))
-    every = words_of(documents).join(lost, ["doc_id", "text_hash"], "left")
-    return every.select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).cast("bigint").alias("n_removed"), F.coalesce("new", "kept_sha256").alias("kept_sha256"))
+    every = keyed(documents).join(repeats(documents, window), ["doc_id", "text_hash"], "left")
+    return every.select("doc_id", "text", "met", "again").mapInArrow(trimmed(run), "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string")
 
 
 def deduplicated(documents: DataFrame, window: int = WINDOW) -> DataFrame:
     """All rows and columns; the text of a document that loses words is its kept words joined by one space."""
     tag = f"_{uuid.uuid4().hex}"  # no column of the documents has such a name
-    doc, own, kept = f"{tag}_doc", f"{tag}_own", f"{tag}_kept"
-    lost = removals(documents, window).select(F.col("doc_id").alias(doc), F.col("text_hash").alias(own), F.col("kept_text").alias(kept))
-    joined = documents.join(lost, (documents["doc_id"] == F.col(doc)) & (text_key(documents["text"]) == F.col(own)), "left")
-    return joined.withColumn("text", F.coalesce(kept, "text")).select(*documents.columns)
+    doc, own, met, again = f"{tag}_doc", f"{tag}_own", f"{tag}_met", f"{tag}_again"
+    parts, at = partitions(documents.sparkSession), documents.columns.index("text")
+    found = repeats(documents, window).toDF(doc, own, met, again)
+    joined = documents.join(found, (documents["doc_id"] == F.col(doc)) & (text_key(documents["text"]) == F.col(own)), "left").drop(doc, own)
+
+    def run(batches):
+        import pyarrow as pa
+
+        cache = hash_words()
+        for part in blocks(batches):
+            texts = part.column(at).to_pylist()
+            for k, (x, y) in enumerate(zip(part.column(met).to_pylist(), part.column(again).to_pylist())):
+                if x is not None:
+                    words = ascii_words(texts[k], False)
+                    texts[k] = _kept(words, _removed(words, x, y, window, parts, cache)).decode("utf-8", "surrogatepass")
+            cache.trim()
+            columns = part.columns[: len(part.columns) - 2]
+            columns[at] = pa.array(texts, pa.string())
+            yield pa.RecordBatch.from_arrays(columns, part.schema.names[:-2])
+
+    return joined.mapInArrow(trimmed(run), documents.schema)
