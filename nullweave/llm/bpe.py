@@ -36,6 +36,7 @@ _BLOCK_SCHEMA = "reset boolean, doc_id array<bigint>, length array<bigint>, flat
 NONE = 1 << ID_BITS
 #: Slots of the rank map that stay empty at its start, so that no row's place is below 0.
 SPARE = 1 << ID_BITS
+PLAN_STRING = "spark.sql.maxPlanStringLength"
 #: Bytes above which a pre-token is merged pass by pass.
 LONG = 256
 
@@ -61,14 +62,14 @@ def _free_place(full: np.ndarray, row: np.ndarray, step: int = 4096) -> int:
 
 @lru_cache(maxsize=4)
 def rank_map(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(slots, places, starts) of the pairs that merge.
+    """(slots, places, starts) of the pairs that merge; ids are counted from 1 here, and 0 is an empty slot.
 
     A pair of ids (a, b) merges to the id whose bytes are those of a and b.  It sits in slot places[a] + b, as
     a * 2^16 + merged id: rows of a sparse table, laid over each other so that no two pairs meet.  starts[256 * x + y]
     is the packed piece of byte x before byte y, starts[2^16 + x] that of x at the end."""
-    ranks = load_ranks(path)
-    if max(ranks.values()) >= 1 << ID_BITS:
-        raise ValueError("the rank map holds ids of 16 bits at most")
+    ranks = {piece: rank + 1 for piece, rank in load_ranks(path).items()}
+    if max(ranks.values()) >= 0xD800:
+        raise ValueError("the rank map holds ids below the code points of surrogates")
     rows: dict[int, list] = {}
     for piece, merged in ranks.items():
         for cut in range(1, len(piece)):
@@ -76,7 +77,7 @@ def rank_map(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             if a is not None and b is not None:
                 rows.setdefault(a, []).append((b, merged))
     width = max(ranks.values()) + 1
-    slots, places = np.full(1 << 21, NONE << ID_BITS, np.int64), np.zeros(width, np.int64)
+    slots, places = np.zeros(1 << 21, np.int64), np.zeros(width, np.int64)
     full = np.zeros(len(slots), bool)
     for a, own in sorted(rows.items(), key=lambda r: (-len(r[1]), r[0])):
         b, merged = np.array(own, np.int64).T
@@ -99,17 +100,14 @@ def literal_array(values) -> Column:
 
 
 def rank_tables(path: str) -> Column:
-    """The rank map as one struct literal (folded by the optimizer), with a character for each id."""
+    """The rank map as one struct literal (folded by the optimizer)."""
     slots, places, starts = rank_map(path)
-    return F.struct(literal_array(slots).alias("slots"), literal_array(places).alias("places"), literal_array(starts).alias("starts"), glyphs(path).alias("glyphs"))
+    return F.struct(literal_array(slots).alias("slots"), literal_array(places).alias("places"), literal_array(starts).alias("starts"))
 
 
-def glyphs(path: str) -> Column:
-    """A literal array of one character for each id (id + 1 as its code point)."""
-    last = max(load_ranks(path).values())
-    if last + 1 >= 0xD800:
-        raise ValueError("the ids don't fit into the characters below the surrogates")
-    return F.split(F.lit("".join(chr(i + 1) for i in range(last + 1))), "")
+def glyph(i: Column) -> Column:
+    """The character whose code point is an id counted from 1."""
+    return F.decode(F.unhex(F.lpad(F.hex(i), 4, "0")), "UTF-16BE")
 
 
 def merge_words(words: Column, path: str) -> Column:
@@ -129,7 +127,7 @@ def merge_column(word: Column, tables: Column) -> Column:
     # don't merge), its first byte and its id; the least value is the leftmost pair of lowest rank, and no two are equal.
     first = lambda x, k: F.get(tables["starts"], F.coalesce(F.shiftleft(x, 8).bitwiseOR(F.get(word, k + 1)), x + (1 << 16)).cast("int"))
     pieces = F.transform(word, lambda x, k: first(x.cast("int"), k).bitwiseOR(F.shiftleft(k.cast("bigint"), ID_BITS)))
-    return F.when(F.size(word) <= LONG, _one_by_one(pieces, rank)).otherwise(_pass_by_pass(pieces, rank, tables["glyphs"]))
+    return F.when(F.size(word) <= LONG, _one_by_one(pieces, rank)).otherwise(_pass_by_pass(pieces, rank))
 
 
 def _one_by_one(pieces: Column, rank) -> Column:
@@ -156,17 +154,17 @@ def _one_by_one(pieces: Column, rank) -> Column:
         return F.get(F.transform(F.array(F.array_min(s)), merged), F.lit(0))
 
     steps = lambda p: F.when(F.size(p) > 1, F.sequence(F.lit(1), F.size(p) - 1)).otherwise(F.array().cast("array<int>"))
-    return F.get(F.transform(F.array(pieces), lambda p: F.aggregate(steps(p), p, step, lambda s: F.transform(s, id_of))), F.lit(0))
+    return F.get(F.transform(F.array(pieces), lambda p: F.aggregate(steps(p), p, step, lambda s: F.transform(s, lambda x: id_of(x) - 1))), F.lit(0))
 
 
-def _pass_by_pass(pieces: Column, rank, glyphs: Column) -> Column:
+def _pass_by_pass(pieces: Column, rank) -> Column:
     """Merges all pairs of the lowest rank in one pass, leftmost first; ends when no pair is left.
 
     A pass takes time in proportion to the pre-token, and there is one for each merge of the vocabulary that it uses, so
     long pre-tokens don't take the square of their length.  (A merge makes pairs of higher rank only, so this is the same order.)"""
 
     def ids_of(s):
-        return F.transform(F.split(s, ""), lambda c: (F.ascii(c) - 1).cast("bigint"))
+        return F.transform(F.split(s, ""), lambda c: F.ascii(c).cast("bigint"))
 
     def step(state, _):
         def lowest(p):
@@ -174,15 +172,15 @@ def _pass_by_pass(pieces: Column, rank, glyphs: Column) -> Column:
             return F.array_min(F.transform(p, lambda x, k: F.coalesce(F.shiftleft(rank(x, F.get(p, k + 1)), 32).bitwiseOR(F.shiftleft(x, 16)).bitwiseOR(F.get(p, k + 1)), F.lit(NONE << 32))))
 
         def merged(low):
-            glyph = lambda bits: F.get(glyphs, F.shiftright(low, bits).bitwiseAND((1 << ID_BITS) - 1).cast("int"))
-            text = F.replace(state["text"], F.concat(glyph(16), glyph(0)), glyph(32))
+            at = lambda bits: glyph(F.shiftright(low, bits).bitwiseAND((1 << ID_BITS) - 1))
+            text = F.replace(state["text"], F.concat(at(16), at(0)), at(32))
             return F.struct((low < NONE << 32).alias("more"), F.when(low < NONE << 32, text).otherwise(state["text"]).alias("text"))
 
         found = F.transform(F.array(ids_of(state["text"])), lowest)
         return F.when(state["more"], F.get(F.transform(found, merged), F.lit(0))).otherwise(state)
 
-    start = F.struct(F.lit(True).alias("more"), F.array_join(F.transform(pieces, lambda x: F.get(glyphs, x.bitwiseAND((1 << ID_BITS) - 1).cast("int"))), "").alias("text"))
-    return F.aggregate(F.sequence(F.lit(1), F.size(pieces)), start, step, lambda s: ids_of(s["text"]))
+    start = F.struct(F.lit(True).alias("more"), F.array_join(F.transform(pieces, lambda x: glyph(x.bitwiseAND((1 << ID_BITS) - 1))), "").alias("text"))
+    return F.aggregate(F.sequence(F.lit(1), F.size(pieces)), start, step, lambda s: F.transform(ids_of(s["text"]), lambda i: i - 1))
 
 
 def _to_blocks(pattern: str):
@@ -213,6 +211,9 @@ def _to_blocks(pattern: str):
 
 def encoded_blocks(documents: DataFrame, path: str, pattern: str) -> DataFrame:
     """Blocks of documents with the ids of their new distinct pre-tokens (column `ids`), in task order."""
+    conf = documents.sparkSession.conf
+    if conf.get(PLAN_STRING, None) in (None, str((1 << 31) - 16)):  # else each plan in a log holds the rank map several times
+        conf.set(PLAN_STRING, "1m")
     out = plain(documents, doc_id="doc_id", text="text").mapInArrow(trimmed(_to_blocks(pattern)), _BLOCK_SCHEMA)
     return out.select("reset", "doc_id", "length", "flat", merge_words(F.col("words"), path).alias("ids"))
 

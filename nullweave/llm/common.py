@@ -65,6 +65,7 @@ def settled(spark: SparkSession, name: str, make) -> DataFrame:
     finally:
         for table in _OPEN.pop():
             table.getFileSystem(spark._jsc.hadoopConfiguration()).delete(table, True)
+        trim()
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
