@@ -9,8 +9,9 @@ token equal to the one before becomes the token "=", so that repetition is seen
 whatever the word.  Features are 1- and 2-grams hashed to 2^18 buckets, valued
 by their share among the text's n-grams.
 
-The training sample is bounded (`train_rows`, a documented parameter): the
-labelled rows with the smallest hashes of their ids.  Scoring covers every row.
+The training sample is bounded (`train_rows`, a documented parameter): of the
+labels 0 or 1 of documents to learn from, those with the smallest hashes of
+their ids.  Scoring covers every row.
 
 Defined cases: a null or empty text has no features and scores by the bias
 alone; labels that are null, or whose document is missing, teach nothing; with
@@ -49,9 +50,8 @@ def _sparse(buckets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def ftrl(rows, epochs: int, alpha: float = 0.5, beta: float = 1.0, l1: float = 1e-4, l2: float = 1e-4) -> np.ndarray:
-    """Weights (the bias last) after FTRL-proximal passes over rows of (buckets, label)."""
+    """Weights (the bias last) after FTRL-proximal passes over rows of (distinct buckets, their shares, label)."""
     z, n = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)
-    rows = [(*_sparse(b), y) for b, y in rows]
     rows = [(np.append(i, 1 << BITS), np.append(x, 1.0), y) for i, x, y in rows]
 
     def weight(zi, ni):
@@ -70,9 +70,9 @@ def ftrl(rows, epochs: int, alpha: float = 0.5, beta: float = 1.0, l1: float = 1
 
 def train(documents: DataFrame, labels: DataFrame, label: str = "quality", train_rows: int = 12_000, epochs: int = 6) -> np.ndarray:
     """Weights learned from at most `train_rows` labelled documents, in one task of bounded size."""
-    order = F.xxhash64("doc_id")
     sample = plain(labels, doc_id="doc_id", y=label).where("y in (0, 1) and doc_id is not null")
-    sample = sample.orderBy(order, "doc_id", "y").limit(train_rows)
+    sample = sample.join(plain(documents, doc_id="doc_id"), "doc_id", "left_semi").select("doc_id", F.col("y").cast("int").alias("y"), F.xxhash64("doc_id").alias("k"))
+    sample = sample.orderBy("k", "doc_id", "y").limit(train_rows)
     texts = plain(documents, doc_id="doc_id", text="text").join(F.broadcast(sample), "doc_id")
 
     def extract(batches):
@@ -80,25 +80,25 @@ def train(documents: DataFrame, labels: DataFrame, label: str = "quality", train
 
         cache = hash_words()
         for part in blocks(batches):
+            own = [_sparse(features(t, cache)) for t in part.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), part.column("y"), pa.array([features(t, cache).tobytes() for t in part.column("text").to_pylist()], pa.binary())],
-                ["doc_id", "y", "buckets"],
+                [part.column("k"), part.column("y"), pa.array([i.tobytes() for i, _ in own], pa.binary()), pa.array([x.tobytes() for _, x in own], pa.binary())],
+                ["k", "y", "buckets", "shares"],
             )
             cache.trim()
 
-    kind = dict(sample.dtypes)
-    extracted = texts.select("doc_id", "y", "text").mapInArrow(trimmed(extract), f"doc_id {kind['doc_id']}, y {kind['y']}, buckets binary")
+    extracted = texts.select("k", "y", "text").mapInArrow(trimmed(extract), "k bigint, y int, buckets binary, shares binary")
 
     def fit(_, pdf):
         import pandas as pd
 
-        pdf = pdf.assign(k=mix(pdf.doc_id.to_numpy().astype(np.int64).view(np.uint64))).sort_values(["k", "doc_id", "y"])
+        pdf = pdf.sort_values(["k", "buckets", "shares", "y"])
         ones = float(pdf.y.mean())
         if ones in (0.0, 1.0):
             w = np.zeros((1 << BITS) + 1, np.float32)
             w[-1] = 10 * (2 * ones - 1)
         else:
-            w = ftrl([(np.frombuffer(b, np.int32), float(y)) for b, y in zip(pdf.buckets, pdf.y)], epochs)
+            w = ftrl([(np.frombuffer(b, np.int32), np.frombuffer(x, np.float64), float(y)) for b, x, y in zip(pdf.buckets, pdf.shares, pdf.y)], epochs)
         return pd.DataFrame({"weights": [w.tobytes()]})
 
     found = extracted.groupBy(F.lit(0).alias("one")).applyInPandas(fit, "weights binary").collect()
