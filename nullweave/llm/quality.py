@@ -46,19 +46,19 @@ def features(text: str | None, cache) -> np.ndarray:
 
 def _sparse(buckets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     idx, n = np.unique(buckets, return_counts=True)
-    return idx, n * (SCALE / max(1, len(buckets)))
+    return idx, (n * (SCALE / max(1, len(buckets)))).astype(np.float32)
 
 
 def ftrl(rows, epochs: int, alpha: float = 0.5, beta: float = 1.0, l1: float = 1e-4, l2: float = 1e-4) -> np.ndarray:
     """Weights (the bias last) after FTRL-proximal passes over rows of (distinct buckets, their shares, label)."""
     z, n = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)
-    rows = [(np.append(i, 1 << BITS), np.append(x, 1.0), y) for i, x, y in rows]
 
     def weight(zi, ni):
         return np.where(np.abs(zi) <= l1, 0.0, -(zi - np.sign(zi) * l1) / ((beta + np.sqrt(ni)) / alpha + l2))
 
     for _ in range(epochs):
         for i, x, y in rows:
+            i, x = np.append(i, 1 << BITS), np.append(x, 1.0)
             zi, ni = z[i], n[i]
             w = weight(zi, ni)
             p = 1 / (1 + np.exp(-np.clip(w @ x, -35, 35)))
@@ -98,7 +98,7 @@ def train(documents: DataFrame, labels: DataFrame, label: str = "quality", train
             w = np.zeros((1 << BITS) + 1, np.float32)
             w[-1] = 10 * (2 * ones - 1)
         else:
-            w = ftrl([(np.frombuffer(b, np.int32), np.frombuffer(x, np.float64), float(y)) for b, x, y in zip(pdf.buckets, pdf.shares, pdf.y)], epochs)
+            w = ftrl([(np.frombuffer(b, np.int32), np.frombuffer(x, np.float32), float(y)) for b, x, y in zip(pdf.buckets, pdf.shares, pdf.y)], epochs)
         return pd.DataFrame({"weights": [w.tobytes()]})
 
     found = extracted.groupBy(F.lit(0).alias("one")).applyInPandas(fit, "weights binary").collect()
