@@ -34,8 +34,6 @@ ID_BITS = 16
 _BLOCK_SCHEMA = "reset boolean, doc_id array<bigint>, length array<bigint>, flat binary, words array<array<smallint>>"
 #: The rank of pieces that don't merge.
 NONE = 1 << ID_BITS
-#: Slots of the rank map that stay empty at its start, so that no row's place is below 0.
-SPARE = 1 << ID_BITS
 PLAN_STRING = "spark.sql.maxPlanStringLength"
 #: Bytes above which a pre-token is merged pass by pass.
 LONG = 256
@@ -47,9 +45,30 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
 
 
+def merge_pairs(ranks: dict[bytes, int]) -> dict[tuple[int, int], int]:
+    """(id, id) -> the id of their bytes, for all pairs that can meet.
+
+    When a merge of some rank is due, all of lower rank are done, and none has crossed the ends of its two pieces; so these
+    are what the bytes alone are merged to by lower ranks.  Where that is two pieces, no other pair of them ever meets."""
+    pairs = {}
+    for piece, merged in ranks.items():
+        parts = [piece[i : i + 1] for i in range(len(piece))]
+        while len(parts) > 2:
+            rank, k = min((ranks.get(a + b, merged), k) for k, (a, b) in enumerate(itertools.pairwise(parts)))
+            if rank >= merged:
+                break
+            parts[k : k + 2] = [parts[k] + parts[k + 1]]
+        cuts = [len(parts[0])] if len(parts) == 2 else range(1, len(piece))
+        for cut in cuts:
+            a, b = ranks.get(piece[:cut]), ranks.get(piece[cut:])
+            if a is not None and b is not None:
+                pairs[a, b] = merged
+    return pairs
+
+
 def _free_place(full: np.ndarray, row: np.ndarray, step: int = 4096) -> int:
     """The first slot from `SPARE` on at which a row of offsets (0 among them) meets no full slot."""
-    start = SPARE
+    start = 0
     while start + step + int(row.max()) < len(full):
         at = start + np.flatnonzero(~full[start : start + step])
         for x in row:
@@ -62,20 +81,16 @@ def _free_place(full: np.ndarray, row: np.ndarray, step: int = 4096) -> int:
 
 @lru_cache(maxsize=4)
 def rank_map(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(slots, places, starts) of the pairs that merge; ids are counted from 1 here, and 0 is an empty slot.
+    """(first, slots, places): the ids of the 256 bytes, and the pairs that merge; ids are counted from 1 here, 0 is an empty slot.
 
     A pair of ids (a, b) merges to the id whose bytes are those of a and b.  It sits in slot places[a] + b, as
-    a * 2^16 + merged id: rows of a sparse table, laid over each other so that no two pairs meet.  starts[256 * x + y]
-    is the packed piece of byte x before byte y, starts[2^16 + x] that of x at the end."""
+    a * 2^16 + merged id: rows of a sparse table, laid over each other so that no two pairs meet."""
     ranks = {piece: rank + 1 for piece, rank in load_ranks(path).items()}
     if max(ranks.values()) >= 0xD800:
         raise ValueError("the rank map holds ids below the code points of surrogates")
     rows: dict[int, list] = {}
-    for piece, merged in ranks.items():
-        for cut in range(1, len(piece)):
-            a, b = ranks.get(piece[:cut]), ranks.get(piece[cut:])
-            if a is not None and b is not None:
-                rows.setdefault(a, []).append((b, merged))
+    for (a, b), merged in merge_pairs(ranks).items():
+        rows.setdefault(a, []).append((b, merged))
     width = max(ranks.values()) + 1
     slots, places = np.zeros(1 << 21, np.int64), np.zeros(width, np.int64)
     full = np.zeros(len(slots), bool)
@@ -85,13 +100,7 @@ def rank_map(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         full[at + b] = True
         slots[at + b] = a << ID_BITS | merged
     last = int(np.flatnonzero(full).max()) + 1 if full.any() else 1
-    starts = np.empty((1 << 16) + 256, np.int64)
-    for x in range(256):
-        i = ranks[bytes([x])]
-        starts[(1 << 16) + x] = NONE << 40 | i
-        for y in range(256):
-            starts[x << 8 | y] = ranks.get(bytes([x, y]), NONE) << 40 | i
-    return slots[:last], places, starts
+    return np.array([ranks[bytes([x])] for x in range(256)]), slots[:last], places
 
 
 def literal_array(values) -> Column:
@@ -101,8 +110,8 @@ def literal_array(values) -> Column:
 
 def rank_tables(path: str) -> Column:
     """The rank map as one struct literal (folded by the optimizer)."""
-    slots, places, starts = rank_map(path)
-    return F.struct(literal_array(slots).alias("slots"), literal_array(places).alias("places"), literal_array(starts).alias("starts"))
+    first, slots, places = rank_map(path)
+    return F.struct(literal_array(first).alias("first"), literal_array(slots).alias("slots"), literal_array(places).alias("places"))
 
 
 def glyph(i: Column) -> Column:
@@ -125,8 +134,9 @@ def merge_column(word: Column, tables: Column) -> Column:
 
     # A piece is packed as rank << 40 | start << 16 | id: the rank of merging it with the next piece (NONE if they
     # don't merge), its first byte and its id; the least value is the leftmost pair of lowest rank, and no two are equal.
-    first = lambda x, k: F.get(tables["starts"], F.coalesce(F.shiftleft(x, 8).bitwiseOR(F.get(word, k + 1)), x + (1 << 16)).cast("int"))
-    pieces = F.transform(word, lambda x, k: first(x.cast("int"), k).bitwiseOR(F.shiftleft(k.cast("bigint"), ID_BITS)))
+    ids = F.transform(word, lambda x: F.get(tables["first"], x.cast("int")))
+    packed = lambda p: F.transform(p, lambda x, k: F.shiftleft(rank(x, F.get(p, k + 1)), 40).bitwiseOR(F.shiftleft(k.cast("bigint"), ID_BITS)).bitwiseOR(x))
+    pieces = F.get(F.transform(F.array(ids), packed), F.lit(0))
     return F.when(F.size(word) <= LONG, _one_by_one(pieces, rank)).otherwise(_pass_by_pass(pieces, rank))
 
 
