@@ -370,6 +370,12 @@ def test_language(spark, docs, nothing):
     assert got[5].rejected and got[5].lang_pred in ("de", "en") and all(0 <= r.score <= 1 for r in got.values())
     assert langid.predict(docs, models).count() == docs.count() and langid.predict(nothing, models).count() == 0
     assert langid.predict(new, langid.train(df.where("false"), "true")).where("lang_pred = 'und'").count() == 5
+    # the same in several passes, languages cut by the histories of their 4-grams
+    cut = langid.train(df, "true", held=1500)
+    assert len(cut.passes) > 3 and max(of for own in cut.passes for _, _, of in own) > 1
+    for r in langid.predict(new, cut).collect():
+        x = got[r.doc_id]
+        assert (r.lang_pred, r.rejected) == (x.lang_pred, x.rejected) and r.score == pytest.approx(x.score) and r.cross_entropy == (x.cross_entropy and pytest.approx(x.cross_entropy))
 
 
 def test_kneser_ney_sums_to_one():
