@@ -7,7 +7,8 @@ density on its path to the body is the page's threshold, and every node at or
 above it adds the largest-sum subtree below it.  The text of the taken subtrees
 is the page's main text, in page order.
 
-Elements that never hold article text (menus, footers, scripts ...) are left out
+Elements inside a line of text are part of the block that they stand in, not nodes.
+Elements that never hold article text (menus, footers, scripts, a page's header ...) are left out
 before densities are computed; so are forms and elements whose class, id or role
 names an advert, a notice, a sidebar or reader comments, but where nothing else
 on the page is an <article> or <main>, not those that hold one or that hold most
@@ -24,6 +25,7 @@ from __future__ import annotations
 import html as entities
 import math
 import re
+from collections import Counter
 
 from pyspark.sql import DataFrame
 
@@ -38,7 +40,9 @@ CLOSES_P = frozenset("address article aside blockquote center details dir div dl
 CLOSED_BY_SAME = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
 SECTION = frozenset("article main".split())
 
-_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
+#: Elements inside a line of text.
+FLOWING = INLINE | {"br", "wbr", "img"}
+_NAME, _STOP = re.compile(r"(/?)([a-zA-Z][^\s/>]*)"), re.compile("[>\"']")
 _NAMES = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _WORD = re.compile(r"[a-z]+|[A-Z][a-z]*")
 #: Words in a class, id or role that mark what isn't the article.
@@ -70,61 +74,101 @@ def _noise(tag: str, attributes: str) -> bool:
     return False
 
 
+def _tag_end(page: str, at: int) -> int:
+    """Where a tag ends whose attributes start at `at`: after the first > outside of quotes, -1 if there is none."""
+    while m := _STOP.search(page, at):
+        if m[0] == ">":
+            return m.end()
+        close = page.find(m[0], m.end())
+        if close < 0:  # a quote that never closes is a character like others
+            return page.find(">", m.end()) + 1 or -1
+        at = close + 1
+    return -1
+
+
+def markup(page: str):
+    """(text before, slash, tag, attributes, where the markup ends) of each tag, in one pass; comments and declarations have no tag."""
+    text, at, end = 0, 0, len(page)
+    while (lt := page.find("<", at)) >= 0:
+        slash = tag = attributes = ""
+        if page.startswith("<!--", lt):
+            at = page.find("-->", lt + 4) + 3
+            at = end if at < 3 else at
+        elif page.startswith(("<!", "<?"), lt):
+            at = page.find(">", lt) + 1
+        elif m := _NAME.match(page, lt + 1):
+            at, (slash, tag) = _tag_end(page, m.end()), m.groups()
+            attributes = page[m.end() : at - 1]
+        else:
+            at = lt + 1
+            continue
+        if at <= 0:
+            break  # no markup ends any more: the rest is text
+        text = yield page[text:lt], slash, tag.lower(), attributes, at
+        if text is None:
+            text = at
+        else:  # the parser went on by itself, past the content of a script, say
+            at = text
+            yield
+    yield page[text:], "", "", "", end
+
+
 def parse(page: str) -> Node:
     """The tree of a page without what never holds article text; `parts` are texts and child nodes in order."""
     root = Node("body")
-    stack, left_out, at = [root], 0, 0  # left_out: depth in the stack of the first element left out
-    end = len(page)
-    while at < end:
-        m = _MARKUP.search(page, at)
-        if (m.start() if m else end) > at and not left_out:
-            stack[-1].parts.append(page[at : m.start() if m else end])
-        if not m:
-            break
-        at = m.end()
-        if not m[2]:
+    stack, left_out = [root], 0  # left_out: depth in the stack of the first element left out
+    opened: Counter = Counter()
+
+    def close(k: int) -> None:
+        nonlocal left_out
+        opened.subtract(n.tag for n in stack[k:])
+        del stack[k:]
+        if left_out >= len(stack):
+            left_out = 0
+
+    steps = markup(page)
+    for text, slash, tag, attributes, at in steps:
+        if text and not left_out:
+            stack[-1].parts.append(text)
+        if not tag:
             continue
-        tag = m[2].lower()
-        if m[1]:
-            for k in range(len(stack) - 1, 0, -1):
+        if slash:
+            for k in range(len(stack) - 1, 0, -1) if opened[tag] else ():
                 if stack[k].tag == tag:
-                    del stack[k:]
+                    close(k)
                     break
                 if tag in INLINE and stack[k].tag not in INLINE:
                     break  # a stray end tag of an inline element
-            if left_out >= len(stack):
-                left_out = 0
             continue
         if tag in ("html", "body"):
             continue
         if tag in CLOSES_P or tag in CLOSED_BY_SAME:
             same, until = ("p", ()) if tag in CLOSES_P else (tag, CLOSED_BY_SAME[tag])
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if opened[same] else ():
                 if stack[k].tag == same:
-                    del stack[k:]
+                    close(k)
                     break
                 if stack[k].tag in until or (same == "p" and stack[k].tag not in INLINE):
                     break
-            if left_out >= len(stack):
-                left_out = 0
         node = Node(tag)
         if not left_out:
-            if tag in LEFT_OUT:
+            if tag in LEFT_OUT or (tag == "header" and not any(opened[x] for x in SECTION)):
                 left_out = len(stack)
                 stack[-1].parts.append(" ")
             else:
-                node.noise = _noise(tag, m[3])
+                node.noise = _noise(tag, attributes)
                 stack[-1].parts.append(node)
                 stack[-1].children.append(node)
-        if tag in VOID or (m[3].endswith("/") and tag not in RAW and tag not in CLOSES_P and tag not in INLINE):
+        if tag in VOID or (attributes.endswith("/") and tag not in RAW and tag not in CLOSES_P and tag not in INLINE):
             left_out = 0 if left_out == len(stack) else left_out
             continue
         if tag in RAW:
-            close = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
-            at = close.end() if close else end
+            ends = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
+            steps.send(ends.end() if ends else len(page))
             left_out = 0 if left_out == len(stack) else left_out
             continue
         stack.append(node)
+        opened[tag] += 1
     return root
 
 
@@ -167,28 +211,35 @@ def prune(root: Node) -> None:
 
 
 def measure(root: Node) -> list[Node]:
-    """Fills in characters, tags, composite densities and density sums; the nodes, children first."""
+    """Fills in characters, tags, composite densities and density sums; the nodes that are blocks, children first.
+
+    An element inside a line of text (`INLINE`, br) is no node of its own here: a paragraph's text counts as one, in however
+    many pieces it is set.  Links alone count as tags."""
     order, todo = [], [root]
     while todo:
         node = todo.pop()
         order.append(node)
         todo += node.children
     order.reverse()
+    inner: dict[int, list] = {}  # the blocks right below a node, through what is inline
     for n in order:
+        inner[id(n)] = [b for c in n.children for b in (inner.pop(id(c)) if c.tag in FLOWING else [c])]
         n.chars = sum(len(_SPACE.sub(" ", p).strip()) for p in n.parts if isinstance(p, str)) + sum(c.chars for c in n.children)
-        n.tags = len(n.children) + sum(c.tags for c in n.children)
+        n.tags = sum(c.tags + (c.tag not in FLOWING or c.tag == "a") for c in n.children)
         if n.tag == "a":
             n.link_chars, n.link_tags = n.chars, n.tags + 1
         else:
             n.link_chars, n.link_tags = sum(c.link_chars for c in n.children), sum(c.link_tags for c in n.children)
     share = root.link_chars / max(1, root.chars)
-    for n in order:
+    blocks = [n for n in order if n.tag not in FLOWING]
+    for n in blocks:
         if n.chars:
             text, links, tags, link_tags = n.chars, max(1, n.link_chars), max(1, n.tags), max(1, n.link_tags)
             base = math.log(text / max(1, text - n.link_chars) * n.link_chars + share * text + math.e)
             n.density = text / tags * (math.log(text / links * tags / link_tags + 1) / base)
+        n.children = inner[id(n)]
         n.total = sum(c.density for c in n.children) or n.density
-    return order
+    return blocks
 
 
 def taken(root: Node) -> set[int]:
@@ -203,14 +254,7 @@ def taken(root: Node) -> set[int]:
     while node is not root:
         node = parent[id(node)]
         threshold = min(threshold, node.density)
-    found = {id(top): top} | {id(best[id(n)]): best[id(n)] for n in order if n.chars and n.density >= threshold}
-    out = set()
-    for node in found.values():
-        up = node
-        while up is not root and up.tag not in SECTION:
-            up = parent[id(up)]
-        out.add(id(node if up is root else up))  # a page that names its article is taken at its word
-    return out
+    return {id(top)} | {id(best[id(n)]) for n in order if n.chars and n.density >= threshold}
 
 
 def main_text(page: str | None) -> str:

@@ -342,6 +342,25 @@ def test_html_of_layout_names():
     assert html.main_text(f'<body><div class="no-sidebar"><article>{story}</article>{comments}</div></body>') == want
 
 
+def test_html_by_density():
+    """The article is found without being named, whole, with short blocks and inline markup; a page's header goes, an article's stays."""
+    story = "<h1>Bridge news</h1><p><b>The council met on Monday</b> and talked at length<br>about the <a href=x>new bridge</a> over the river. " + "It was a long talk, as ever. " * 9 + "</p><p>So be it.</p>"
+    want = "Bridge news The council met on Monday and talked at length about the new bridge over the river. " + "It was a long talk, as ever. " * 9 + "So be it."
+    menu = "<ul>" + "".join(f"<li><a href={k}>Entry {k}</a></li>" for k in range(12)) + "</ul>"
+    for tag in ("div", "article", "main", "section"):
+        assert html.main_text(f"<body><header>Site Name Daily, news and a long tagline</header>{menu}<{tag}>{story}</{tag}></body>") == want
+    assert html.main_text(f"<body><article><header>{story[:20]}</header>{story[20:]}</article></body>") == want
+
+
+@pytest.mark.parametrize("page", ["<a " * 20_000, '<a "' * 20_000, "<!" * 20_000, "<b>" * 20_000 + "</i>" * 20_000, "<div><p>" * 10_000, "<a '" * 9_999 + ">", "<" * 100_000])
+def test_html_takes_linear_time(page):
+    import time
+
+    start = time.perf_counter()
+    html.main_text(page)
+    assert time.perf_counter() - start < 2
+
+
 def test_quality(spark, docs, nothing):
     good = [(i, prose(i, 80), 1) for i in range(60)]
     bad = [(100 + i, " | ".join(prose(i, 60).split()), 0) for i in range(60)]
