@@ -51,8 +51,9 @@ CLOSE = 0.65
 FILTER_BITS = 1 << 27
 #: Members above which an open bucket of a band is dealt anew.
 LARGE = 64
-#: Counters of the sketch by which shingles are called rare.
-SKETCH = 1 << 20
+#: Counters of the sketch by which shingles are called rare (it must tell very common ones from others; half a MB, so that
+#: task results of it come with their message).
+SKETCH = 1 << 17
 #: Members that one task compares with as many others.
 CHUNK = 512
 
@@ -338,12 +339,12 @@ def _rare(ids: DataFrame, documents: DataFrame, threshold) -> DataFrame:
         for batch in batches:
             for x in batch.column("set").to_pylist():
                 np.add.at(tally, (np.frombuffer(x, np.uint64) % np.uint64(SKETCH)).astype(np.int64), 1)
-        yield pa.RecordBatch.from_pydict({"tally": [tally.tobytes()]})
+        yield pa.RecordBatch.from_pydict({"tally": [np.minimum(tally, (1 << 31) - 1).astype(np.int32).tobytes()]})
 
     total = np.zeros(SKETCH, np.int64)
     for r in sets.select("set").coalesce(8).mapInArrow(trimmed(count), "tally binary").toLocalIterator():
-        total += np.frombuffer(r[0], np.int64)
-    shared = ids.sparkSession.sparkContext.broadcast(total)
+        total += np.frombuffer(r[0], np.int32)
+    shared = ids.sparkSession.sparkContext.broadcast(np.minimum(total, (1 << 31) - 1).astype(np.int32))
 
     def run(batches):
         import pyarrow as pa
