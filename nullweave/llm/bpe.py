@@ -274,8 +274,15 @@ def _gathered(make):
     return run
 
 
+@lru_cache(maxsize=1)
+def _numbers() -> list[int]:
+    """One object for each id, however many pre-tokens have it."""
+    return list(range(1 << ID_BITS))
+
+
 def _ids(ids, at, _):
-    return [ids[a:b] for a, b in itertools.pairwise(at)]
+    own = list(map(_numbers().__getitem__, ids))
+    return [tuple(own[a:b]) for a, b in itertools.pairwise(at)]
 
 
 def _decoded(ids, at, decoded):
