@@ -26,16 +26,16 @@ def tail_alphas(alpha: float, tail: str) -> tuple[float, float]:
     raise ValueError(f"unknown tail {tail!r}")
 
 
-def _scored(rows: DataFrame, law: Law) -> DataFrame:
+def _scored(rows: DataFrame, law: Law, keep: tuple = ()) -> DataFrame:
     w = F.col("weight")
-    scored = rows.select("source", "target", "weight", law.upper(w).alias("_up"), law.lower(w).alias("_low"), law.expected().alias("expected"), law.occupation().alias("occupation"))
+    scored = rows.select(*keep, "source", "target", "weight", law.upper(w).alias("_up"), law.lower(w).alias("_low"), law.expected().alias("expected"), law.occupation().alias("occupation"))
     up, low = conditional(F.col("_up"), F.col("_low"), F.col("occupation"))
-    return scored.select("source", "target", "weight", up.alias("upper_pvalue"), low.alias("lower_pvalue"), "expected", "occupation")
+    return scored.select(*keep, "source", "target", "weight", up.alias("upper_pvalue"), low.alias("lower_pvalue"), "expected", "occupation")
 
 
-def observed(edges: DataFrame, fit: Fit) -> DataFrame:
-    """p-values of observed edges given that they exist; the law holds on the diagonal too, even where the fit has no self-loops."""
-    return _scored(P.located(edges, fit), P.law(fit))
+def observed(edges: DataFrame, fit: Fit, keep: tuple = ()) -> DataFrame:
+    """p-values of observed edges given that they exist, beside the columns to `keep`; the law holds on the diagonal too, even where the fit has no self-loops."""
+    return _scored(P.located(edges, fit), P.law(fit), keep)
 
 
 def observed_custom(edges: DataFrame, rates: DataFrame, column: str = "rate") -> DataFrame:

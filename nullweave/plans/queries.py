@@ -336,15 +336,36 @@ for _name, _family, _term in (
 # --- iterative fits: expected constraints against the observed ones -------
 
 
-def _observed(net: str, kind: str) -> str:
+#: What a constraint fixes over all nodes, by its column: the expected sums it is taken from, and its SQL.
+_TOTALS = {
+    Constraint.STRENGTH_EDGES: ("expected_edges", "degree_out", "edges"),
+    Constraint.DEGREE_EVENTS: ("expected_events", "strength_out", "total"),
+}
+
+
+def _observed(net: str, kind: str, constraint: Constraint | None = None) -> str:
     out, incoming = (("s_out", "s_in") if kind == "strength" else ("k_out", "k_in"))
-    return _base(net) + f" SELECT node, ROUND(CAST({out} AS DOUBLE), 2) AS expected_out, ROUND(CAST({incoming} AS DOUBLE), 2) AS expected_in FROM s"
+    total = ""
+    if constraint in _TOTALS:
+        name, _, sql = _TOTALS[constraint]
+        total = f", ROUND(CAST({sql} AS DOUBLE), 1) AS {name}"
+    elif constraint == Constraint.STRENGTH_COST:
+        total = ", CAST(1 AS DOUBLE) AS cost_over_target"
+    return _base(net) + f" SELECT node, ROUND(CAST({out} AS DOUBLE), 2) AS expected_out, ROUND(CAST({incoming} AS DOUBLE), 2) AS expected_in{total} FROM s, t"
 
 
 def _recovered(spark, fit, kind: str) -> DataFrame:
-    got = P.expected_sums(spark, fit).select("node", F.col(f"{kind}_out").alias("expected_out"), F.col(f"{kind}_in").alias("expected_in"))
+    sums = P.expected_sums(spark, fit)
     clean = lambda c: (F.round(c, 2) + F.lit(0.0)).alias(c)
-    return got.select("node", clean("expected_out"), clean("expected_in"))
+    got = sums.select("node", F.col(f"{kind}_out").alias("expected_out"), F.col(f"{kind}_in").alias("expected_in")).select("node", clean("expected_out"), clean("expected_in"))
+    if fit.constraint in _TOTALS:
+        name, column, _ = _TOTALS[fit.constraint]
+        got = got.crossJoin(F.broadcast(sums.agg(F.round(F.sum(column), 1).alias(name))))  # one row
+    return got
+
+
+def _cost_over_target(cost: float, target: float):
+    return F.round(F.lit(cost / target), 4).alias("cost_over_target")
 
 
 def _layers(own) -> int:
@@ -374,7 +395,7 @@ def _recovery_query(name, net, network, family, constraint, layers, kind):
         loops = network is N.nation_od or network is N.user_seq
         return _recovered(spark, _fitted(spark, edges, family, constraint, layers, self_loops=loops), kind)
 
-    QUERIES[name], ORACLE[name] = run, _observed(net, kind)
+    QUERIES[name], ORACLE[name] = run, _observed(net, kind, constraint)
 
 
 _FAMILIES = (("me", Family.ME, 1), ("b", Family.B, 0), ("w1", Family.W, 1), ("w3", Family.W, 3))
@@ -399,9 +420,10 @@ def _cost_query(name, family, layers):
         placed = replace(base, coordinates=grid)
         cost = P.candidates(spark, placed).agg(F.sum(P.law(placed).expected() * P.euclidean())).first()[0]
         fit = fit_model(family=family, constraint=Constraint.STRENGTH_COST, strength_out=own["strength_out"], strength_in=own["strength_in"], target_cost=0.9 * cost, coordinates=grid, layers=layers_, self_loops=False, tolerance=1e-6, spark=spark)
-        return _recovered(spark, fit, "strength")
+        got = P.candidates(spark, fit).agg(F.sum(P.law(fit).expected() * P.euclidean())).first()[0]
+        return _recovered(spark, fit, "strength").select("*", _cost_over_target(got, 0.9 * cost))
 
-    QUERIES[name], ORACLE[name] = run, _observed(ODQ, "strength")
+    QUERIES[name], ORACLE[name] = run, _observed(ODQ, "strength", Constraint.STRENGTH_COST)
 
 
 for _label, _family, _m in _FAMILIES:
@@ -529,9 +551,10 @@ def _partial_cost_query(name, family, layers):
         cost = ST.total_cost(free.rates.withColumnRenamed("rate", "weight"), nodes).first()[0]
         got = fit_model(family=family, constraint=Constraint.STRENGTH_COST, target_cost=0.95 * cost, coordinates=grid, **options)
         sums = EV.partial_recovery(got, len(own["strength_out"]))
-        return sums.select("node", (F.round("strength_out", 2) + 0.0).alias("expected_out"), (F.round("strength_in", 2) + 0.0).alias("expected_in"))
+        reached = ST.total_cost(got.rates.withColumnRenamed("rate", "weight"), nodes).first()[0]
+        return sums.select("node", (F.round("strength_out", 2) + 0.0).alias("expected_out"), (F.round("strength_in", 2) + 0.0).alias("expected_in"), _cost_over_target(reached, 0.95 * cost))
 
-    QUERIES[name], ORACLE[name] = run, _observed(ODQ, "strength")
+    QUERIES[name], ORACLE[name] = run, _observed(ODQ, "strength", Constraint.STRENGTH_COST)
 
 
 for _label, _family, _m in _FAMILIES:
@@ -634,6 +657,56 @@ for _label, _family, _m in _FAMILIES:
         _sample_query(f"sample_{_label}_{_constraint}", _family, _constraint, _m)
 
 
+def _sample_cell_query(label, family, m, constraint):
+    """Draws of all pairs by the counter generator under multipliers that are fixed functions of the whole network, repeated in SQL."""
+    u, _, term = (t.format(m=m) for t in _TERMS[family])
+    side = "CEIL(SQRT((SELECT COUNT(*) FROM s)))"
+    dist = f"SQRT(POWER(s1.node % {side} - s2.node % {side}, 2) + POWER(FLOOR(s1.node / {side}) - FLOOR(s2.node / {side}), 2))"
+    plain = "(0.6 * s1.s_out / most_out) * (s2.s_in / most_in)"  # 0.6 at most, so that every family has a law
+    occupied = "(s1.k_out / SQRT(edges)) * (s2.k_in / SQRT(edges))"
+    q, odds = {
+        Constraint.STRENGTH: (plain, None),
+        Constraint.STRENGTH_COST: (f"{plain} * EXP(-0.05 * {dist})", None),
+        Constraint.STRENGTH_EDGES: (plain, "0.7"),
+        Constraint.STRENGTH_DEGREE: (plain, occupied),
+        Constraint.DEGREE_EVENTS: ("0.4", occupied),
+        Constraint.DEGREE: ("0.4", occupied),
+    }[constraint]
+    pi = "NULL" if odds is None else "1 / (1 + 1 / (o * (EXP(u) - 1)))" if constraint in (Constraint.STRENGTH_EDGES, Constraint.STRENGTH_DEGREE) else "o / (1 + o)"
+    inner = "1" if constraint == Constraint.DEGREE else "GREATEST(1, n)"
+    sql = _base(OD) + f"""
+, most AS (SELECT CAST(MAX(s_out) AS DOUBLE) AS most_out, CAST(MAX(s_in) AS DOUBLE) AS most_in FROM s),
+r AS (SELECT s1.node AS source, s2.node AS target, CAST({q} AS DOUBLE) AS q, CAST({odds or 0} AS DOUBLE) AS o, {_U.format("'23:' || s1.node || ':' || s2.node")} AS u0, {_U.format("'23:' || s1.node || ':' || s2.node || ':1'")} AS v0 FROM s s1, s s2, t, most WHERE s1.s_out > 0 AND s2.s_in > 0),
+v AS (SELECT *, {u} AS u FROM r),
+z AS (SELECT source, target, q, u0, CAST({pi} AS DOUBLE) AS pi, CASE WHEN {pi} IS NULL THEN u0 ELSE EXP(-u) + v0 * (1 - EXP(-u)) END AS reach FROM v),
+c AS (SELECT source, target, reach, u0, pi, w, SUM({term.replace("k", "w")}) OVER (PARTITION BY source, target ORDER BY w) AS cdf FROM z, (SELECT UNNEST(RANGE(0, 150)) AS w)),
+d AS (SELECT source, target, u0, pi, COUNT(*) FILTER (WHERE cdf <= reach) AS n FROM c GROUP BY ALL),
+g AS (SELECT source, target, CAST(CASE WHEN pi IS NULL THEN n WHEN u0 < pi THEN {inner} ELSE 0 END AS BIGINT) AS weight FROM d)
+SELECT * FROM g WHERE weight > 0"""
+
+    def run(spark, sf_dir):
+        import numpy as np
+
+        from ..schema import Fit
+
+        own = ST.constraints_of(N.nation_od(spark, sf_dir))
+        k = np.sqrt(own["target_edges"])
+        x, y = 0.6 * own["strength_out"] / own["strength_out"].max(), own["strength_in"] / own["strength_in"].max()
+        z, w = own["degree_out"] / k, own["degree_in"] / k
+        if constraint in (Constraint.DEGREE_EVENTS, Constraint.DEGREE):
+            x, y = z, w
+        fit = Fit(constraint, family, m, True, x, y, z, w, gamma=0.05, lam=0.7, q=0.4, coordinates=N.grid(len(x)))
+        return sample_model(spark, fit=fit, seed=23)
+
+    QUERIES[f"sample_cell_{label}_{constraint}"], ORACLE[f"sample_cell_{label}_{constraint}"] = run, sql
+
+
+for _label, _family, _m in (("me", Family.ME, 1), ("b20", Family.B, 20), ("w1", Family.W, 1), ("w3", Family.W, 3)):
+    for _constraint in (Constraint.STRENGTH, Constraint.STRENGTH_COST, Constraint.STRENGTH_EDGES, Constraint.STRENGTH_DEGREE, Constraint.DEGREE_EVENTS):
+        _sample_cell_query(_label, _family, _m, _constraint)
+_sample_cell_query("bernoulli", Family.ME, 1, Constraint.DEGREE)
+
+
 @query()
 def ensemble_mean(spark, sf_dir):
     """Mean and deviation of out-strengths over 20 samples."""

@@ -23,9 +23,8 @@ def filter_stream(edges: DataFrame, fit: Fit, path: str, checkpoint: str, alpha:
     """A started query that scores each batch of closed windows against `fit` and appends the significant edges to `path`."""
 
     def each(batch: DataFrame, number: int):
-        scored = FO.classify(FO.observed(batch, fit), alpha, tail)
-        keys = batch.select("start", "source", "target")
-        found = scored.where("is_upper or is_lower").join(keys, ["source", "target"]).withColumn("batch", F.lit(number))
+        scored = FO.classify(FO.observed(batch, fit, ("start",)), alpha, tail)
+        found = scored.where("is_upper or is_lower").withColumn("batch", F.lit(number))
         (then or (lambda df: df.write.mode("append").parquet(path)))(found)
 
     return edges.writeStream.outputMode("append").foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

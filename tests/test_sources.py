@@ -74,9 +74,10 @@ def test_stream(spark, tmp_path):
     from nullweave.operators.fit import fit
     from nullweave.streaming.windows import filter_stream
 
-    spark.sql("select timestamp'2024-01-01 01:00:00' ts, 0 a, 1 b from range(30) union all select timestamp'2024-01-09 01:00:00', 1, 0").write.parquet(str(tmp_path / "in"))
+    spark.sql("select timestamp'2024-01-01 01:00:00' ts, 0 a, 1 b from range(30) union all select timestamp'2024-01-02 01:00:00', 0, 1 from range(20) union all select timestamp'2024-01-09 01:00:00', 1, 0").write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("ts timestamp, a int, b int").parquet(str(tmp_path / "in"))
     model = fit("strength", "me", [2.0, 1.0], [1.0, 2.0])
     q = filter_stream(windowed_edges(stream, "ts", "a", "b"), model, str(tmp_path / "out"), str(tmp_path / "check"))
     q.awaitTermination(60)
-    assert spark.read.parquet(str(tmp_path / "out")).first().weight == 30
+    got = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert sorted((r.start.day, r.weight) for r in got) == [(1, 30), (2, 20)]  # each window's edge once
