@@ -76,8 +76,8 @@ def phrase_hits(index: DataFrame, windows: DataFrame, terms: DataFrame) -> DataF
     """uid, start, w, len of every exact occurrence of a window, by intersecting postings from the rarest term on."""
     index = index.where("term >= 0").select("uid", "pos", "term")
     frequency = index.groupBy("term").agg(F.count("*").alias("df"))
-    spread = windows.select("w", F.size("words").alias("len"), F.posexplode("words").alias("offset", "word")).join(terms, "word")
-    spread = spread.join(frequency, "term")  # a window with a term that no document has can't occur
+    counted = stored(terms.join(frequency, "term"), "frequencies")  # one row a term; a window with a term that no document has can't occur
+    spread = windows.select("w", F.size("words").alias("len"), F.posexplode("words").alias("offset", "word")).join(small(counted), "word")
     lists = spread.groupBy("w", "len").agg(F.array_sort(F.collect_list(F.struct("df", "offset", "term"))).alias("t")).where("size(t) = len")
     lists = stored(lists.select("w", "len", F.transform("t", lambda x: F.struct(x["offset"].alias("offset"), x["term"].alias("term"))).alias("t")), "test-lists")
 
