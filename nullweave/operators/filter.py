@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.laws import Law, conditional
 from ..schema import Family, Fit
-from ..storage import global_row_number
+from ..storage import global_row_number, stored
 from . import pairs as P
 
 COLUMNS = ("source", "target", "weight", "upper_pvalue", "lower_pvalue", "expected", "occupation")
@@ -89,6 +89,7 @@ def classify(scored: DataFrame, alpha: float = 0.05, tail: str = "two-sided", co
         n = scored.agg(F.greatest(F.lit(1), F.count("*") * 2).alias("_n"))  # one row
         out = scored.join(F.broadcast(n)).withColumn("is_upper", F.col("upper_pvalue") < F.lit(up) / F.col("_n")).withColumn("is_lower", F.col("lower_pvalue") < F.lit(low) / F.col("_n")).drop("_n")
     elif correction == "fdr":
+        scored = stored(scored, "scored")  # read by both tails
         out = benjamini_hochberg(benjamini_hochberg(scored, "upper_pvalue", up, "is_upper"), "lower_pvalue", low, "is_lower")
     else:
         raise ValueError(f"unknown correction {correction!r}")
