@@ -9,12 +9,15 @@ with the most bucket mates, so edges grow with the members, not their square.
 
 What stars leave open is settled then: members of one bucket that are in
 different components after the star edges are compared by signature inside the
-task that holds the bucket, and only close pairs leave it.  Members of large open
+task that holds the bucket.  From small buckets of bands the close pairs leave it,
+fewer than `LARGE` for a member and bucket.  Members of large open
 buckets of bands (a passage that many documents share fills whole bands) are
 dealt anew by exact keys: their n - ceil(0.75 n) + 1 rarest shingles, of which two
 sets at 0.75 share one (by any order that all sets use: counts are those of a
 sketch).  Texts of few shingles have such keys instead of bands from the start.
-Buckets of exact keys are compared in full, in chunks, whatever their size.
+Buckets of exact keys are compared in full, in chunks, whatever their size; their
+rows carry the whole sets, so pairs are confirmed where they meet and only links
+leave the task, fewer than there are members in it: what is connected by then is skipped.
 
 Documents with equal sets are one class from the start (a copy costs a row, not
 a pair); every link is confirmed on full sets, in integers.  Components come
@@ -196,9 +199,17 @@ def _sets(needed: DataFrame, documents: DataFrame) -> DataFrame:
     return texts.mapInArrow(trimmed(sets), "id bigint, set binary").join(needed.withColumnRenamed("doc_id", "id"), "id", "left_semi").dropDuplicates(["id"])
 
 
+def _linked(x: bytes, y: bytes, threshold) -> bool:
+    """Whether two sets of distinct hashes, in any order, meet the threshold."""
+    up, down = threshold
+    both = np.concatenate([np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)])
+    both.sort(kind="stable")
+    common = int((both[1:] == both[:-1]).sum())
+    return down * common >= up * (len(both) - common)
+
+
 def confirmed(pairs: DataFrame, documents: DataFrame, threshold=(75, 100)) -> DataFrame:
     """The (a, b) pairs whose full sets meet the threshold: down * intersection >= up * union."""
-    up, down = threshold
     needed = stored(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "needed")
     own = _sets(needed, documents)
 
@@ -206,13 +217,7 @@ def confirmed(pairs: DataFrame, documents: DataFrame, threshold=(75, 100)) -> Da
         import pyarrow as pa
 
         for batch in batches:
-            good = []
-            for x, y in zip(batch.column("sa"), batch.column("sb")):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = np.concatenate([x, y])
-                both.sort(kind="stable")
-                common = int((both[1:] == both[:-1]).sum())
-                good.append(down * common >= up * (len(both) - common))
+            good = [_linked(x.as_buffer(), y.as_buffer(), threshold) for x, y in zip(batch.column("sa"), batch.column("sb"))]
             good = pa.array(good, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(good), batch.column("b").filter(good)], ["a", "b"])
 
@@ -239,14 +244,15 @@ def components(edges: DataFrame) -> DataFrame:
     return ends.union(edges.select("v", "v")).distinct()
 
 
-def _compared(members: DataFrame, reps: DataFrame) -> DataFrame:
+def _compared(members: DataFrame, reps: DataFrame, threshold=None) -> DataFrame:
     """(a, b): close pairs of members of one key that are in different components.
 
-    `members` is (key, id, component).  If `reps` have `rare`, the keys of each as
-    binary, a pair leaves only the first key that it shares.  A key's members
-    are cut into chunks; each pair of chunks is one run of a sorted partition."""
-    fine = "rare" in reps.columns
-    extra = ["rare"] if fine else []
+    `members` is (key, id, component).  With a threshold, `reps` have whole sets in
+    two parts, `rare` and `rest`, and only links come out, as many as it takes to
+    connect what is linked; a pair that shares several keys of `rare` is confirmed
+    at the first.  A key's members are cut into chunks; each pair of chunks is one
+    run of a sorted partition."""
+    extra = ["rare", "rest"] if threshold else []
     chunks = members.groupBy("key").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
     own = F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")
     rows = members.join(chunks, "key").withColumn("own", own).join(reps.select("id", "n", "wide", *extra), "id")
@@ -256,6 +262,7 @@ def _compared(members: DataFrame, reps: DataFrame) -> DataFrame:
 
     def pairs(x):
         g, ids = x["g"], x["id"]
+        top: dict = {}  # of components that links of these runs have joined
         out = []
         at = np.arange(len(g))
         d = 1
@@ -271,9 +278,9 @@ def _compared(members: DataFrame, reps: DataFrame) -> DataFrame:
             a, b, least = a[ok], b[ok], least[ok]
             if len(a):
                 near = ((x["wide"][a] == x["wide"][b]).mean(axis=1) >= CLOSE) | (least < BANDED)
-                if fine:
+                if threshold:
                     a, b, near = a[near], b[near], slice(None)
-                    near = np.fromiter((_first_shared(x["rare"][i], x["rare"][j]) == x["key"][i] for i, j in zip(a, b)), bool, len(a))
+                    near = np.fromiter((_joins(x, i, j, top, threshold) for i, j in zip(a.tolist(), b.tolist())), bool, len(a))
                 out.append(np.stack([np.minimum(ids[a], ids[b])[near], np.maximum(ids[a], ids[b])[near]]))
             d += 1
         return np.concatenate(out, axis=1) if out else np.empty((2, 0), np.int64)
@@ -286,8 +293,8 @@ def _compared(members: DataFrame, reps: DataFrame) -> DataFrame:
             if not batch.num_rows:
                 continue
             new = {c: batch.column(c).to_numpy() for c in ("key", "i", "j", "side", "id", "component", "n")}
-            if fine:
-                new["rare"] = batch.column("rare").to_numpy(zero_copy_only=False)
+            for c in extra:
+                new[c] = batch.column(c).to_numpy(zero_copy_only=False)
             new["wide"] = np.frombuffer(b"".join(batch.column("wide").to_pylist()), np.uint8).reshape(-1, WIDE)
             held = new if held is None else {c: np.concatenate([held[c], new[c]]) for c in new}
             starts = np.flatnonzero((held["key"][1:] != held["key"][:-1]) | (held["i"][1:] != held["i"][:-1]) | (held["j"][1:] != held["j"][:-1])) + 1
@@ -308,6 +315,24 @@ def _first_shared(x: bytes, y: bytes) -> int:
     return np.intersect1d(np.frombuffer(x, np.int64), np.frombuffer(y, np.int64), assume_unique=True)[0]
 
 
+def _root(top: dict, component: int) -> int:
+    while (above := top.get(component, component)) != component:
+        top[component] = top.get(above, above)
+        component = above
+    return component
+
+
+def _joins(x: dict, i: int, j: int, top: dict, threshold) -> bool:
+    """Whether rows i and j are linked and nothing before has connected them; notes in `top` that they are now."""
+    a, b = _root(top, x["component"][i]), _root(top, x["component"][j])
+    if a == b or x["rare"][i] and _first_shared(x["rare"][i], x["rare"][j]) != x["key"][i]:
+        return False
+    if not _linked(x["rare"][i] + x["rest"][i], x["rare"][j] + x["rest"][j], threshold):
+        return False
+    top[max(a, b)] = min(a, b)
+    return True
+
+
 def _runs(x: dict, starts: np.ndarray) -> dict:
     g = np.zeros(len(x["key"]), np.int64)
     g[starts] = 1
@@ -328,7 +353,7 @@ def _shared(keyed: DataFrame) -> DataFrame:
 
 
 def _rare(ids: DataFrame, documents: DataFrame, threshold) -> DataFrame:
-    """(id, rare): the rarest shingles of the given documents, as many as two sets at the threshold must share one of."""
+    """(id, rare, rest): the rarest shingles of the given documents, as many as two sets at the threshold must share one of, and all others."""
     up, down = threshold
     sets = stored(_sets(stored(ids.select(F.col("id").alias("doc_id")), "large"), documents), "large-sets")
 
@@ -351,14 +376,16 @@ def _rare(ids: DataFrame, documents: DataFrame, threshold) -> DataFrame:
 
         df = shared.value
         for batch in batches:
-            out = []
+            out, rest = [], []
             for x in batch.column("set").to_pylist():
                 s = np.frombuffer(x, np.uint64)
                 order = np.lexsort((s, df[(s % np.uint64(SKETCH)).astype(np.int64)]))
-                out.append(np.sort(s[order[: len(s) - -(-len(s) * up // down) + 1]].view(np.int64)).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(out, pa.binary())], ["id", "rare"])
+                least = len(s) - -(-len(s) * up // down) + 1
+                out.append(np.sort(s[order[:least]].view(np.int64)).tobytes())
+                rest.append(np.sort(s[order[least:]]).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(out, pa.binary()), pa.array(rest, pa.binary())], ["id", "rare", "rest"])
 
-    return stored(sets.mapInArrow(trimmed(run), "id bigint, rare binary"), "rare")
+    return stored(sets.mapInArrow(trimmed(run), "id bigint, rare binary, rest binary"), "rare")
 
 
 def _rare_keys(rare: DataFrame) -> DataFrame:
@@ -372,7 +399,20 @@ def _rare_keys(rare: DataFrame) -> DataFrame:
             if own:
                 yield pa.RecordBatch.from_pydict({"key": np.frombuffer(b"".join(own), np.int64), "id": np.repeat(batch.column("id").to_numpy(), [len(x) // 8 for x in own])})
 
-    return rare.mapInArrow(trimmed(run), "key bigint, id bigint")
+    return rare.select("id", "rare").mapInArrow(trimmed(run), "key bigint, id bigint")
+
+
+def _whole(reps: DataFrame) -> DataFrame:
+    """id, n, wide, rare (none), rest (the whole set) of small sets."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            few = [np.array(x, np.int64).tobytes() for x in batch.column("few").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([b""] * len(few), pa.binary()), pa.array(few, pa.binary())], ["id", "n", "wide", "rare", "rest"])
+
+    return reps.where("size(few) > 0").select("id", "n", "wide", "few").mapInArrow(trimmed(run), "id bigint, n bigint, wide binary, rare binary, rest binary")
 
 
 def _exact_keys(reps: DataFrame, threshold) -> DataFrame:
@@ -411,9 +451,10 @@ def _near_duplicates(documents: DataFrame, threshold) -> DataFrame:
     large = F.col("banded") & (F.col("c") > LARGE)
     rare = _rare(unsettled.where(large).select("id").distinct(), documents, threshold)
     finer = _open(_shared(_rare_keys(rare)), placed).select("key", "id", "component")
-    usual = unsettled.where(~large).select("key", "id", "component")
-    rest = _compared(usual, reps).union(_compared(finer, reps.join(rare, "id"))).distinct().join(star, ["a", "b"], "left_anti")
-    found = components(links.union(confirmed(stored(rest, "rest"), documents, threshold)))
+    small, exact = (unsettled.where(x).select("key", "id", "component") for x in (F.col("banded") & ~large, ~F.col("banded")))
+    rest = _compared(small, reps).join(star, ["a", "b"], "left_anti")
+    more = _compared(exact, _whole(reps), threshold).union(_compared(finer, reps.join(rare, "id"), threshold))
+    found = components(links.union(confirmed(stored(rest, "rest"), documents, threshold)).union(more))
 
     classes = reps.select("digest", F.col("id").alias("class_id"))
     placed = classes.join(found.withColumnRenamed("id", "class_id"), "class_id", "left").select("digest", "class_id", F.coalesce("component", "class_id").alias("component"))

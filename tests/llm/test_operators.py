@@ -208,6 +208,22 @@ def test_near_duplicates_in_a_large_open_bucket(spark):
     assert {x.doc_id: (x.n_shingles, x.component_id) for x in minhash.near_duplicates(df).collect()} == want
 
 
+def test_near_duplicates_of_a_group_below_the_threshold(spark, monkeypatch):
+    """300 texts at 0.70 from each other, some of them with a twin: pairs that aren't linked don't leave the tasks that compare them."""
+    base, rows = prose(5, 104, 10_000).split(), []
+    for k in range(300):
+        rows.append(" ".join([*base, *(f"own{k}x{j}" for j in range(21))]))
+        if k % 30 == 0:
+            rows.append(rows[-1] + f" twin{k}")
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    met, confirmed = [], minhash.confirmed
+    monkeypatch.setattr(minhash, "confirmed", lambda pairs, *rest: met.append(pairs.count()) or confirmed(pairs, *rest))
+    want = near(list(enumerate(rows)))
+    assert len({c for _, c in want.values()}) == 300
+    assert {x.doc_id: (x.n_shingles, x.component_id) for x in minhash.near_duplicates(df).collect()} == want
+    assert sum(met) < 16 * len(rows) < 300 * 299 / 4
+
+
 def test_rare_keys_lose_no_pair(spark):
     """Sets at 0.75 share a rare key, however common the rest of them is."""
     passage = prose(77, 40).split()
