@@ -224,6 +224,21 @@ def test_near_duplicates_of_a_group_below_the_threshold(spark, monkeypatch):
     assert sum(met) < 16 * len(rows) < 300 * 299 / 4
 
 
+def test_one_of_each_of_short_texts_below_the_threshold(spark, monkeypatch):
+    """300 texts of 21 shingles, 17 of them in all (0.68), some with a twin: of small sets, too, only links leave the tasks."""
+    base, rows = prose(6, 21, 10_000).split(), []
+    for k in range(300):
+        rows.append(" ".join([*base, *(f"own{k}x{j}" for j in range(4))]))
+        if k % 30 == 0:
+            rows.append(rows[-1] + f" twin{k}")
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    met, confirmed = [], minhash.confirmed
+    monkeypatch.setattr(minhash, "confirmed", lambda pairs, *rest: met.append(pairs.count()) or confirmed(pairs, *rest))
+    want = near(list(enumerate(rows)))
+    assert {x.doc_id for x in minhash.one_of_each(df).collect()} == {i for i, (_, c) in want.items() if i == c}
+    assert sum(met) < 16 * len(rows) < 300 * 299 / 4
+
+
 def test_rare_keys_lose_no_pair(spark):
     """Sets at 0.75 share a rare key, however common the rest of them is."""
     passage = prose(77, 40).split()
