@@ -10,6 +10,11 @@ codes), any run of other characters is one space.  4-grams of all training
 texts are counted, whole texts, over the whole table, and all of them are kept;
 the lower orders use continuation counts.
 
+A language's limit is 1.1 times a quantile of the cross-entropies of its training texts under
+its own model: of every one with `SURE_CHARS` letters and spaces or more, whole (copies count as
+often as they occur, as in the counts).  The quantile is exact: its two order statistics are
+found by counting the values' bits from the highest on, so only counts reach the driver.
+
 A worker holds `BYTES` of tables at once, by an estimate from counted entries.
 Where all models together take more, texts are scored in several passes, each
 with the tables of some languages; a language that takes more by itself is cut
@@ -183,8 +188,70 @@ def _tables(counts: DataFrame, own: list[tuple]) -> list[tuple[str, Model]]:
     return sorted(out, key=lambda x: x[0])
 
 
-def train(documents: DataFrame, where: Column | str, calibration_rows: int = 2_000, quantile: float = 0.999, held: int | None = None) -> Models:
-    """Models of all languages, from every row of `documents` that meets `where`; limits from up to `calibration_rows` different texts of them."""
+def own_entropies(rows: DataFrame, models: Models) -> DataFrame:
+    """lang, bits: of each (lang, text) row of `SURE_CHARS` or more, the bits of its -log probability per character under its own language's model."""
+    rows = rows.select("lang", "text", F.lit(0.0).alias("logs"))
+    for k, own in enumerate(models.passes):
+        last = k == len(models.passes) - 1
+        rows = rows.mapInArrow(trimmed(_own_logs(models.load(own), last)), "lang string, bits bigint" if last else rows.schema)
+        if not last:
+            rows = stored(rows, "own-logs")
+    return rows
+
+
+def _own_logs(tables, last: bool):
+    def run(batches):
+        import pyarrow as pa
+
+        for part in blocks(batches):
+            langs, texts = np.array(part.column("lang").to_pylist(), object), part.column("text").to_pylist()
+            logs, n = part.column("logs").to_numpy().copy(), np.zeros(len(texts), np.int64)
+            for lang in set(langs):
+                at = np.flatnonzero(langs == lang)
+                n[at], more = negative_logs([lang], [x for x in tables if x[0] == lang], [texts[i] for i in at])
+                logs[at] += more[:, 0]
+            if not last:
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(logs)], part.schema.names)
+                continue
+            good = n >= SURE_CHARS
+            h = np.maximum(logs[good] / n[good], 0.0) + 0.0  # no sign, not of a zero either
+            yield pa.RecordBatch.from_arrays([part.column("lang").filter(pa.array(good)), pa.array(h.view(np.int64))], ["lang", "bits"])
+
+    return run
+
+
+def quantiles(values: DataFrame, q: float, width: int = 12) -> dict[str, float]:
+    """The exact quantile (linear between order statistics) by lang, over all rows of (lang, bits): the bits of doubles from 0 on.
+
+    These sort as the doubles do; each round counts the next few bits of the
+    values that agree with what is known of a wanted one, by language."""
+    counts = {r["lang"]: r["count"] for r in values.groupBy("lang").count().collect()}
+    wanted = {}  # (lang, which of the two): (bits known so far, rank among the values that have them)
+    for lang, n in counts.items():
+        low = int(q * (n - 1))
+        wanted |= {(lang, 0): (0, low), (lang, 1): (0, min(low + 1, n - 1))}
+    spark, left = values.sparkSession, 64
+    while left and wanted:
+        step = min(width, left)
+        known = spark.createDataFrame(sorted({(lang, head) for (lang, _), (head, _) in wanted.items()}), "lang string, head long")
+        left -= step
+        head = F.shiftrightunsigned("bits", left + step) if left + step < 64 else F.lit(0).cast("long")  # a shift by 64 is none
+        heads = values.select("lang", F.shiftrightunsigned("bits", left).alias("b"), head.alias("head"))
+        found: dict = {}
+        for r in heads.join(F.broadcast(known), ["lang", "head"]).groupBy("lang", "head", "b").count().orderBy("lang", "head", "b").collect():
+            found.setdefault((r["lang"], r["head"]), []).append((r["b"], r["count"]))
+        for key, (prefix, rank) in wanted.items():
+            for b, n in found[key[0], prefix]:
+                if rank < n:
+                    wanted[key] = b, rank
+                    break
+                rank -= n
+    value = {key: float(np.array([known], np.int64).view(np.float64)[0]) for key, (known, _) in wanted.items()}
+    return {lang: value[lang, 0] + (value[lang, 1] - value[lang, 0]) * (q * (n - 1) - int(q * (n - 1))) for lang, n in counts.items()}
+
+
+def train(documents: DataFrame, where: Column | str, quantile: float = 0.999, held: int | None = None) -> Models:
+    """Models and limits of all languages, from every row of `documents` that meets `where`."""
     rows = documents.where(where).select("lang", "text").where("lang is not null and text is not null")
     counts = stored(count_grams(rows), "grams")
     models = Models({r["lang"]: r["count"] for r in counts.groupBy("lang").count().collect()}, held=held)
@@ -193,18 +260,9 @@ def train(documents: DataFrame, where: Column | str, calibration_rows: int = 2_0
         models.load = lambda _: only
     else:
         models.load = lambda own: _tables(counts, own)
-    if models.langs:  # the border of the smallest hashes first, so that only the sample's texts reach the driver
-        key = F.xxhash64("text").alias("key")
-        last = rows.select(key).orderBy("key").limit(calibration_rows).agg(F.max("key")).first()[0]
-        sample = rows.where(key <= last).distinct().orderBy(key, "lang", "text").limit(calibration_rows).toPandas()
-        logs = 0
-        for own in models.passes:
-            chars, more = negative_logs(models.langs, models.load(own), sample.text.tolist())
-            logs = logs + more
-        for k, x in enumerate(models.langs):
-            its = (sample.lang == x).to_numpy() & (chars >= SURE_CHARS)
-            if its.any():
-                models.limits[x] = float(np.quantile(logs[its, k] / chars[its], quantile)) * 1.1
+    if models.langs:
+        own = stored(own_entropies(rows, models), "entropies")
+        models.limits = {lang: x * 1.1 for lang, x in quantiles(own, quantile).items()}
     return models
 
 

@@ -428,6 +428,31 @@ def test_language(spark, docs, nothing):
         assert (r.lang_pred, r.rejected) == (x.lang_pred, x.rejected) and r.score == pytest.approx(x.score) and r.cross_entropy == (x.cross_entropy and pytest.approx(x.cross_entropy))
 
 
+def test_language_limits_are_of_all_training_texts(spark):
+    """Limits follow every training text, whatever their number, order of values and copies, and are the same in several passes."""
+    r, letters = random.Random(3), "abcdefghijkl"
+    rows = [(lang, " ".join("".join(r.choice(letters[: 2 + k % 11]) for _ in range(5)) for _ in range(9))) for lang, m in (("x", 2600), ("y", 50), ("z", 1)) for k in range(m)]
+    rows += rows[:40] + [("x", "short"), ("w", "tiny")]
+    df = spark.createDataFrame(rows, "lang string, text string").repartition(5)
+    models = langid.train(df, "true")
+    tables = models.load(models.passes[0])
+    want = {}
+    for lang in "xyz":
+        chars, logs = langid.negative_logs([lang], [m for m in tables if m[0] == lang], [t for x, t in rows if x == lang])
+        want[lang] = pytest.approx(1.1 * np.quantile((logs[:, 0] / chars)[chars >= langid.SURE_CHARS], 0.999), rel=1e-12)
+    assert models.limits == want
+    cut = langid.train(df, "true", held=100_000)
+    assert len(cut.passes) > 2 and max(of for own in cut.passes for _, _, of in own) > 1 and cut.limits == want
+
+
+@pytest.mark.parametrize("q", [0.0, 0.3, 0.999, 1.0])
+def test_quantiles_are_exact(spark, q):
+    h = {"a": np.random.default_rng(1).gamma(2.0, size=5000), "b": np.array([0.0, 0.0, 1e-300, 2.5]), "c": np.array([1.5]), "d": np.full(300, 0.7)}
+    rows = [(lang, int(b)) for lang, x in h.items() for b in x.view(np.int64)]
+    got = langid.quantiles(spark.createDataFrame(rows, "lang string, bits long"), q)
+    assert got == {lang: pytest.approx(np.quantile(x, q), rel=1e-12) for lang, x in h.items()}
+
+
 def test_kneser_ney_sums_to_one():
     g, n = np.unique(np.concatenate([langid.grams("abracadabra is a word " * 3), langid.grams("banana bandana")]), return_counts=True)
     m = langid.Model(g, n)
