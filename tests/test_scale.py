@@ -107,6 +107,7 @@ def test_second_derivatives(family, layers, kind):
 RECOVERIES = [
     (Family.B, 10, Constraint.STRENGTH_DEGREE, "degree"),
     (Family.B, 10, Constraint.STRENGTH_DEGREE, "strength"),
+    (Family.ME, 1, Constraint.STRENGTH_DEGREE, "degree"),
 ]
 
 
