@@ -108,6 +108,7 @@ RECOVERIES = [
     (Family.B, 10, Constraint.STRENGTH_DEGREE, "degree"),
     (Family.B, 10, Constraint.STRENGTH_DEGREE, "strength"),
     (Family.ME, 1, Constraint.STRENGTH_DEGREE, "degree"),
+    (Family.ME, 1, Constraint.STRENGTH_DEGREE, "strength"),
 ]
 
 
