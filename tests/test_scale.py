@@ -45,6 +45,7 @@ FILTERS = [
     (Family.B, 10, Constraint.STRENGTH_DEGREE),
     (Family.ME, 1, Constraint.STRENGTH_DEGREE),
     (Family.W, 1, Constraint.STRENGTH_DEGREE),
+    (Family.W, 3, Constraint.STRENGTH_DEGREE),
 ]
 
 
