@@ -113,6 +113,7 @@ RECOVERIES = [
     (Family.B, 10, Constraint.STRENGTH_DEGREE, "strength"),
     (Family.ME, 1, Constraint.STRENGTH_DEGREE, "degree"),
     (Family.ME, 1, Constraint.STRENGTH_DEGREE, "strength"),
+    (Family.W, 1, Constraint.STRENGTH_DEGREE, "degree"),
 ]
 
 
