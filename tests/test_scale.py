@@ -115,6 +115,7 @@ RECOVERIES = [
     (Family.ME, 1, Constraint.STRENGTH_DEGREE, "strength"),
     (Family.W, 1, Constraint.STRENGTH_DEGREE, "degree"),
     (Family.W, 1, Constraint.STRENGTH_DEGREE, "strength"),
+    (Family.W, 3, Constraint.STRENGTH_DEGREE, "degree"),
 ]
 
 
