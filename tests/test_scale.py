@@ -116,6 +116,7 @@ RECOVERIES = [
     (Family.W, 1, Constraint.STRENGTH_DEGREE, "degree"),
     (Family.W, 1, Constraint.STRENGTH_DEGREE, "strength"),
     (Family.W, 3, Constraint.STRENGTH_DEGREE, "degree"),
+    (Family.W, 3, Constraint.STRENGTH_DEGREE, "strength"),
 ]
 
 
