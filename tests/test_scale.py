@@ -46,6 +46,7 @@ FILTERS = [
     (Family.ME, 1, Constraint.STRENGTH_DEGREE),
     (Family.W, 1, Constraint.STRENGTH_DEGREE),
     (Family.W, 3, Constraint.STRENGTH_DEGREE),
+    (Family.B, 10, Constraint.STRENGTH_EDGES),
 ]
 
 
