@@ -48,6 +48,7 @@ FILTERS = [
     (Family.W, 3, Constraint.STRENGTH_DEGREE),
     (Family.B, 10, Constraint.STRENGTH_EDGES),
     (Family.W, 1, Constraint.STRENGTH_EDGES),
+    (Family.W, 3, Constraint.STRENGTH_EDGES),
 ]
 
 
