@@ -120,6 +120,7 @@ RECOVERIES = [
     (Family.W, 1, Constraint.STRENGTH_DEGREE, "strength"),
     (Family.W, 3, Constraint.STRENGTH_DEGREE, "degree"),
     (Family.W, 3, Constraint.STRENGTH_DEGREE, "strength"),
+    (Family.B, 10, Constraint.STRENGTH_EDGES, "strength"),
 ]
 
 
