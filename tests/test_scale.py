@@ -122,6 +122,7 @@ RECOVERIES = [
     (Family.W, 3, Constraint.STRENGTH_DEGREE, "strength"),
     (Family.B, 10, Constraint.STRENGTH_EDGES, "strength"),
     (Family.ME, 1, Constraint.STRENGTH_EDGES, "strength"),
+    (Family.W, 1, Constraint.STRENGTH_EDGES, "strength"),
 ]
 
 
