@@ -123,6 +123,7 @@ RECOVERIES = [
     (Family.B, 10, Constraint.STRENGTH_EDGES, "strength"),
     (Family.ME, 1, Constraint.STRENGTH_EDGES, "strength"),
     (Family.W, 1, Constraint.STRENGTH_EDGES, "strength"),
+    (Family.W, 3, Constraint.STRENGTH_EDGES, "strength"),
 ]
 
 
