@@ -178,6 +178,7 @@ def test_w_degrees_with_nodes_of_single_weights(layers):
 
 FULL = [
     (Family.B, 40),
+    (Family.ME, 1),
 ]
 
 
