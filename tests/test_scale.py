@@ -179,6 +179,7 @@ def test_w_degrees_with_nodes_of_single_weights(layers):
 FULL = [
     (Family.B, 40),
     (Family.ME, 1),
+    (Family.W, 1),
 ]
 
 
