@@ -180,6 +180,7 @@ FULL = [
     (Family.B, 40),
     (Family.ME, 1),
     (Family.W, 1),
+    (Family.W, 3),
 ]
 
 
